@@ -25,13 +25,15 @@ def raw_ip(user: Column) -> Column:
         F.lit("10."), F.floor(user / 62500).cast("string"), F.lit("."),
         (F.floor(user / 250) % 250).cast("string"), F.lit("."), (user % 250 + 1).cast("string"),
     )
-    v6 = F.concat(F.lit("2001:0DB8:0:0:0:0:0:"), F.hex(user + 1))
+    high, low = F.hex(F.floor((user + 1) / 65536)), F.hex((user + 1) % 65536)
+    v6 = F.concat(F.lit("2001:0DB8:0:0:0:0:"), high, F.lit(":"), low)
     return F.when(user % 5 == 0, v6).otherwise(v4)
 
 
 def clean_ip(user: Column) -> Column:
     """The same address in canonical form."""
-    v6 = F.concat(F.lit("2001:db8::"), F.lower(F.hex(user + 1)))
+    high, low = F.lower(F.hex(F.floor((user + 1) / 65536))), F.lower(F.hex((user + 1) % 65536))
+    v6 = F.concat(F.lit("2001:db8::"), F.when(high != "0", F.concat(high, F.lit(":"))).otherwise(""), low)
     return F.when(user % 5 == 0, v6).otherwise(raw_ip(user))
 
 
@@ -71,3 +73,80 @@ def lines_from_events(events: DataFrame) -> DataFrame:
         epoch_seconds("ts").alias("ts"),
         line.alias("line"),
     )
+
+
+AS_OF = 1706659200
+GAP_START = 1705300000
+TEMPLATE = "-s %i -j DROP"
+
+
+def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, first_ts, last_ts, n`` of every user."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id")
+        .agg(
+            epoch_seconds(F.min("ts")).alias("first_ts"),
+            epoch_seconds(F.max("ts")).alias("last_ts"),
+            F.count("*").alias("n"),
+        )
+    )
+
+
+def kept_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored state row for every second user, some of them listed by hand."""
+    user = F.col("user_id")
+    return events_by_user(spark, sf_dir).filter(user % 2 == 0).select(
+        clean_ip(user).alias("ip"),
+        F.lit(GAP_START).cast("bigint").alias("last_activity"),
+        (user * 7919 % 200000).alias("score"),
+        (user % 50).alias("activity_count"),
+        (user % 7).alias("refused_count"),
+        (user % 34 == 0).alias("whitelisted"),
+        ((user % 38 == 0) & (user % 34 != 0)).alias("blacklisted"),
+        F.when(user % 3 == 0, F.lit(GAP_START) + user).otherwise(0).cast("bigint").alias("last_reported"),
+        F.when(user % 5 == 0, 6).otherwise(4).alias("ip_version"),
+        (user % 4 == 0).alias("has_rule"),
+    )
+
+
+def feed(spark: SparkSession, sf_dir: str, old: bool) -> DataFrame:
+    """Reputation feed out of `customer`: the old one leaves out every third customer,
+    the new one every fourth. Some addresses are users of the log."""
+    key = F.col("c_custkey")
+    chosen = key % 3 != 0 if old else key % 4 != 0
+    return table(spark, sf_dir, "customer").filter(chosen).select(
+        clean_ip(key * 3).alias("ip"),
+        (key % 1000 + (0 if old else 1)).alias("total_reports"),
+        (F.lit(25) + key % 76).cast("int").alias("confidence"),
+        F.when(key * 3 % 5 == 0, 6).otherwise(4).alias("ip_version"),
+        (F.lit(old) & (key % 7 == 0)).alias("has_rule"),
+    )
+
+
+def feed_times(spark: SparkSession, sf_dir: str, old: bool) -> DataFrame:
+    """Sync times: the first or the last event."""
+    pick = F.min if old else F.max
+    return table(spark, sf_dir, "events").agg(
+        epoch_seconds(pick("ts")).alias("sync_time"), (epoch_seconds(pick("ts")) - 60).alias("gen_time")
+    )
+
+
+def firewall_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ip_version, line``: a rule for every third user and every fifth supplier, and
+    lines that are no such rules."""
+    user = F.col("user_id")
+    users = events_by_user(spark, sf_dir)
+    of_users = users.filter(user % 3 == 0).select(
+        F.when(user % 5 == 0, 6).otherwise(4).alias("ip_version"),
+        F.concat(
+            F.lit("-A INPUT -s "), clean_ip(user), F.when(user % 5 == 0, "/128").otherwise("/32"),
+            F.when(user % 7 == 0, " -j ACCEPT").otherwise(" -j DROP"),
+        ).alias("line"),
+    )
+    key = F.col("s_suppkey")
+    strangers = table(spark, sf_dir, "supplier").select(
+        F.lit(4).alias("ip_version"),
+        F.concat(F.lit("-A INPUT -s 192.0.2."), (key % 250 + 1).cast("string"), F.lit("/32 -j DROP")).alias("line"),
+    )
+    return of_users.unionByName(strangers)
