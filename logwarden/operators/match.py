@@ -7,15 +7,13 @@ text the rule requires stands before each regex.
 
 from __future__ import annotations
 
-from functools import partial
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.functions.core import let
-from logwarden.functions.net import normalize_ip
 from logwarden.functions.net import ip_version as version_of
+from logwarden.functions.net import normalize_ip
 from logwarden.operators.rules import required_texts, usable_rules
 
 HIT_COLUMNS = ["seq", "ts", "log_group", "kind", "rule_idx", "score", "ip", "ip_version", "port", "line"]
@@ -37,62 +35,69 @@ def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     ``lines`` has ``log_group, ts, seq, line``; ``ts`` is epoch seconds.
     """
     usable = usable_rules(rules)
-    numbered = list(enumerate(usable))
-    first_of_kind = [
-        _first_in_group([(n, r) for n, r in numbered if r["kind"] == kind]).alias(f"rule_{kind}")
-        for kind in sorted({r["kind"] for r in usable})
-    ] or [F.lit(None).cast("int").alias("rule_none")]
-    searched = lines.select("seq", "ts", "log_group", "line", *first_of_kind)
+    if not usable:
+        firsts = [F.lit(None).cast("int")]
+    else:
+        numbered = list(enumerate(usable))
+        kinds = sorted({r["kind"] for r in usable})
+        firsts = [F.expr(_first_in_group([x for x in numbered if x[1]["kind"] == k])) for k in kinds]
+    firsts = [first.alias(f"rule_{n}") for n, first in enumerate(firsts)]
+    searched = lines.select("seq", "ts", "log_group", "line", *firsts)
     per_hit = searched.select(
         "seq", "ts", "log_group", "line", F.explode(F.array(*searched.columns[4:])).alias("rule_pos")
     ).filter(F.col("rule_pos").isNotNull())
-    return (
-        per_hit.withColumn("found", F.split(_fields_of(usable), "\n"))
-        .withColumn("ip", normalize_ip(F.col("found")[0]))
-        .withColumn("port", F.nullif(F.col("found")[1], F.lit("")).cast("int"))
-        .withColumn("ip_version", version_of("ip"))
-        .withColumn("kind", _lookup([r["kind"] for r in usable], "string"))
-        .withColumn("rule_idx", _lookup([r["rule_idx"] for r in usable], "int"))
-        .withColumn("score", _lookup([r["score"] for r in usable], "bigint"))
-        .select(*HIT_COLUMNS)
-    )
-
-
-def _first_in_group(numbered: list) -> Column:
-    """The first matching rule among those of the line's own group."""
-    choice = None
-    for group, members in groupby(numbered, key=lambda nr: nr[1]["log_group"]):
-        in_group, first = F.col("log_group") == group, let(F.lower("line"), partial(_first_match, list(members)))
-        choice = F.when(in_group, first) if choice is None else choice.when(in_group, first)
-    return choice
-
-
-def _first_match(numbered: list, low: Column) -> Column:
-    line = F.col("line")
+    cut = per_hit.select("*", F.split(F.expr(_fields_of(usable)), "\n").alias("found"))
+    return cut.select(
+        "seq",
+        "ts",
+        "log_group",
+        _lookup([r["kind"] for r in usable], "string").alias("kind"),
+        _lookup([r["rule_idx"] for r in usable], "int").alias("rule_idx"),
+        _lookup([r["score"] for r in usable], "bigint").alias("score"),
+        normalize_ip(F.col("found")[0]).alias("ip"),
+        F.nullif(F.col("found")[1], F.lit("")).cast("int").alias("port"),
+        "line",
+    ).select(*[c if c != "ip_version" else version_of("ip").alias(c) for c in HIT_COLUMNS])
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _first_in_group(numbered: list) -> str:
+    """Number of the first matching rule among those of the line's own group."""
+    branches = [
+        f"WHEN log_group = {quoted(group)} THEN {_first_match(list(members))}"
+        for group, members in groupby(numbered, key=lambda x: x[1]["log_group"])
+    ]
+    return f"CASE {' '.join(branches)} END"
+
+
+def _first_match(numbered: list) -> str:
     texts = [required_texts(r["pattern"]) for _, r in numbered]
     shared = shared_text([t[0] if t else "" for t in texts])
-    first = F.when(F.lit(False), F.lit(0))
+    branches = []
     for (n, r), required in zip(numbered, texts, strict=True):
-        test = match_line(line, r["regex"])
-        for text in reversed([t for t in required if t != shared]):
-            test = F.contains(low, F.lit(text)) & test
-        first = first.when(test, F.lit(n))
-    return F.when(F.contains(low, F.lit(shared)), first) if shared else first
+        tests = [f"contains(low, {quoted(t)})" for t in required if t != shared]
+        tests.append(f"line RLIKE {quoted(whole_line(r['regex']))}")
+        branches.append(f"WHEN {' AND '.join(tests)} THEN {n}")
+    first = f"CASE {' '.join(branches)} END"
+    if shared:
+        first = f"CASE WHEN contains(low, {quoted(shared)}) THEN {first} END"
+    return f"element_at(transform(array(lower(line)), low -> {first}), 1)"
 
 
-def _fields_of(usable: list) -> Column:
+def _fields_of(usable: list) -> str:
     """Address and port cut out by one run of the matched rule's regex, a line feed
     between them."""
-
-    def fields(rule_pos: Column) -> Column:
-        picked = F.when(F.lit(False), F.lit(""))
-        for n, r in enumerate(usable):
-            port = f"${r['port_group']}" if r["port_pos"] != -1 else ""
-            cut = F.regexp_replace("line", whole_line(r["regex"]), f"${r['ip_group']}\n{port}")
-            picked = picked.when(rule_pos == n, cut)
-        return picked
-
-    return let(F.col("rule_pos"), fields)
+    branches = []
+    for n, r in enumerate(usable):
+        port = f"${r['port_group']}" if r["port_pos"] != -1 else ""
+        fields = f"${r['ip_group']}\n{port}"
+        branches.append(f"WHEN n = {n} THEN regexp_replace(line, {quoted(whole_line(r['regex']))}, {quoted(fields)})")
+    picked = f"CASE {' '.join(branches)} END" if branches else "cast(n AS string)"
+    return f"element_at(transform(array(rule_pos), n -> {picked}), 1)"
 
 
 def shared_text(texts: list[str]) -> str:
@@ -107,5 +112,5 @@ def shared_text(texts: list[str]) -> str:
 
 
 def _lookup(values: list, type_: str) -> Column:
-    table = F.array(*[F.lit(v) for v in values]).cast(f"array<{type_}>")
-    return F.get(table, F.col("rule_pos"))
+    items = ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in values)
+    return F.expr(f"get(cast(array({items}) AS array<{type_}>), rule_pos)")

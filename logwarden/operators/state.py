@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logwarden.functions.net import ip_version
 from logwarden.operators.score import final_score, per_second
 from logwarden.schemas import STATE, STATE_COLUMNS
+from logwarden.stage import written
 
 
 def new_address(ip: Column, last_activity: Column) -> list[Column]:
@@ -28,7 +29,8 @@ def new_address(ip: Column, last_activity: Column) -> list[Column]:
 
 
 def upsert_state(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace the rows whose address is in ``changes`` and add the new ones."""
+    """Replace the rows whose address is in ``changes`` and add the new ones. ``changes``
+    is read twice, so hand in a written table when it is costly."""
     return state.join(changes.select("ip"), "ip", "left_anti").select(*STATE_COLUMNS).unionByName(
         changes.select(*STATE_COLUMNS)
     )
@@ -37,7 +39,7 @@ def upsert_state(state: DataFrame, changes: DataFrame) -> DataFrame:
 def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFrame:
     """State rows of all addresses with hits. A hit older than the address's last
     activity counts as happening at it."""
-    steps = per_second(hits, multiplier)
+    steps = written(per_second(hits, multiplier))
     before = state.join(steps.select("ip").distinct(), "ip", "left_semi")
     known_since = before.select("ip", F.col("last_activity").alias("known_at"))
     in_time = steps.join(known_since, "ip", "left").select(
@@ -68,7 +70,7 @@ def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFram
 
 def update_state(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFrame:
     """Fold hits into the state: decayed score, counts, time of last activity."""
-    return upsert_state(state, changed_rows(state, hits, multiplier))
+    return upsert_state(state, written(changed_rows(state, hits, multiplier)))
 
 
 def state_from_hits(hits: DataFrame, multiplier: int) -> DataFrame:

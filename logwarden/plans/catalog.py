@@ -12,6 +12,7 @@ from logwarden.plans import demo
 from logwarden.plans.demo import AS_OF, table
 from logwarden.settings import Settings
 from logwarden.sources import config_file, logs, reputation, state_file
+from logwarden.stage import written
 
 SETTINGS = Settings(report_all=True, default_comment="%d %i port %p: %m")
 
@@ -25,10 +26,16 @@ def demo_groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.GROUPS)
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_rules(demo.log_lines(spark, sf_dir), demo_rules(spark))
 
 
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as a table: matching is the costly pass, and what follows reads them
+    several times."""
+    return written(matched(spark, sf_dir))
+
+
 def counted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without refused ones of unknown addresses."""
     return known.known_refused(hits(spark, sf_dir))
@@ -52,11 +59,11 @@ def listed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_first_rule(spark, sf_dir):
-    return hits(spark, sf_dir).filter("kind = 'activity'")
+    return matched(spark, sf_dir).filter("kind = 'activity'")
 
 
 def match_refused(spark, sf_dir):
-    return hits(spark, sf_dir).filter("kind = 'refused'")
+    return matched(spark, sf_dir).filter("kind = 'refused'")
 
 
 def known_refused(spark, sf_dir):
@@ -78,12 +85,12 @@ def attach_state(spark, sf_dir):
 
 
 def decayed_score(spark, sf_dir):
-    scored = score.decayed_score(counted_hits(spark, sf_dir), SETTINGS.multiplier)
+    scored = score.decayed_score(written(counted_hits(spark, sf_dir)), SETTINGS.multiplier)
     return scored.select("ip", "ts", "seq", "kind", "score", "running_score")
 
 
 def growing_score(spark, sf_dir):
-    scored = score.decayed_score(counted_hits(spark, sf_dir), 0)
+    scored = score.decayed_score(written(counted_hits(spark, sf_dir)), 0)
     return scored.select("ip", "ts", "seq", "running_score")
 
 
@@ -93,11 +100,12 @@ def state_after(spark, sf_dir):
 
 def state_update(spark, sf_dir):
     before = demo.kept_state(spark, sf_dir)
-    return state.update_state(before, known.known_refused(hits(spark, sf_dir), before), SETTINGS.multiplier)
+    counted = known.known_refused(hits(spark, sf_dir), before)
+    return state.update_state(before, counted, SETTINGS.multiplier)
 
 
 def activity_by_address(spark, sf_dir):
-    return score.activity_by_address(hits(spark, sf_dir))
+    return score.activity_by_address(matched(spark, sf_dir))
 
 
 def expiry(spark, sf_dir):
@@ -258,7 +266,7 @@ def candidates(spark, sf_dir):
 
 
 def emitted(spark, sf_dir):
-    return report.throttle_reports(candidates(spark, sf_dir), demo.kept_state(spark, sf_dir), gap=86400)
+    return report.throttle_reports(written(candidates(spark, sf_dir)), demo.kept_state(spark, sf_dir), gap=86400)
 
 
 def report_settings(spark, sf_dir):
