@@ -89,14 +89,17 @@ def firewall_plan(
     dropped: DataFrame | None = None,
 ) -> DataFrame:
     """``ip, ip_version, action, command`` for every address with a rule or in need of
-    one. Rules of unknown addresses are reported, not touched, unless the address is in
-    ``dropped`` (just removed from state or feed)."""
+    one. Rules of unknown addresses are reported, not touched; addresses in ``dropped``
+    (just removed from state or feed) that are in neither table any more are removed,
+    whether or not a rule is listed."""
     known = reconcile_firewall(parsed, state, feed)
     if dropped is None:
         gone = F.lit(False)
     else:
         marks = dropped.select("ip").distinct().withColumn("gone", F.lit(True))
-        known = known.join(marks, "ip", "left")
+        known = known.join(marks, "ip", "full_outer").withColumn("ip_version", F.coalesce("ip_version", ip_version("ip")))
+        for flag in ("in_state", "in_feed", "has_rule"):
+            known = known.withColumn(flag, F.coalesce(flag, F.lit(False)))
         gone = F.coalesce("gone", F.lit(False))
     nowhere = ~F.col("in_state") & ~F.col("in_feed")
     action = (

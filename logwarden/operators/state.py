@@ -36,9 +36,10 @@ def upsert_state(state: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFrame:
+def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int, feed: DataFrame | None = None) -> DataFrame:
     """State rows of all addresses with hits. A hit older than the address's last
-    activity counts as happening at it."""
+    activity counts as happening at it. A new address that the feed already gave a
+    rule starts out with it."""
     steps = written(per_second(hits, multiplier))
     before = state.join(steps.select("ip").distinct(), "ip", "left_semi")
     known_since = before.select("ip", F.col("last_activity").alias("known_at"))
@@ -54,6 +55,11 @@ def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFram
     )
     scored = final_score(in_time.unionByName(seed), multiplier)
     kept = before.select("ip", "whitelisted", "blacklisted", "last_reported", "ip_version", "has_rule")
+    if feed is None:
+        fed = F.lit(False)
+    else:
+        scored = scored.join(feed.select("ip", F.col("has_rule").alias("fed_rule")), "ip", "left")
+        fed = F.coalesce("fed_rule", F.lit(False))
     return scored.join(kept, "ip", "left").select(
         "ip",
         "last_activity",
@@ -64,7 +70,7 @@ def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFram
         F.coalesce("blacklisted", F.lit(False)).alias("blacklisted"),
         F.coalesce("last_reported", F.lit(0).cast("bigint")).alias("last_reported"),
         F.coalesce("ip_version", ip_version("ip")).alias("ip_version"),
-        F.coalesce("has_rule", F.lit(False)).alias("has_rule"),
+        F.coalesce("has_rule", fed).alias("has_rule"),
     )
 
 

@@ -1,0 +1,62 @@
+"""Scores as a stateful stream (T2, T4): one value per address, kept by Spark.
+
+The choice where each update is wanted at once. All hits of an address in one batch
+go to one task here; `monitor.Monitor` spreads them and is the one for hot addresses.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from logwarden.operators.score import amount
+from logwarden.settings import REPORT_GAP_SECONDS, U32_MAX
+
+STATE = "last_activity bigint, score bigint, activity_count bigint, refused_count bigint, last_reported bigint"
+OUTPUT = f"ip string, {STATE}, reported array<bigint>"
+
+
+def score_stream(hits: DataFrame, multiplier: int, gap: int = REPORT_GAP_SECONDS) -> DataFrame:
+    """Per batch, the new state of every address with hits, and the times at which a
+    report about it is due. Refused hits before the first activity are dropped."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        if not state.exists:
+            rows = rows[rows["activity"].cummax() > 0]
+        if not len(rows):
+            return
+        before = state.get if state.exists else (int(rows["ts"].iloc[0]), 0, 0, 0, 0)
+        after, reported = advance(rows, before, multiplier, gap)
+        state.update(after)
+        yield pd.DataFrame([[key[0], *after, reported]], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    slim = hits.select(
+        "ip", "ts", "seq", (F.col("kind") == "activity").cast("bigint").alias("activity"), amount(multiplier).alias("added")
+    )
+    return slim.groupBy("ip").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def advance(rows: pd.DataFrame, before: tuple, multiplier: int, gap: int) -> tuple[tuple, list[int]]:
+    """State after the ordered rows of one address, and the times of due reports. The
+    stored score goes in front as a row of its own (see `operators.score`)."""
+    last, score, activity, refused, last_reported = before
+    ts = np.maximum(rows["ts"].to_numpy(), last)
+    added = np.r_[score, rows["added"].to_numpy()]
+    clock = np.r_[last, ts] if multiplier > 0 else np.zeros(len(ts) + 1, dtype=np.int64)
+    total = np.cumsum(added)
+    rising = total - clock - np.minimum.accumulate(total - added - clock)
+    end = int(rising[-1] - max(0, int((rising - U32_MAX).max())))
+    active = int(rows["activity"].sum())
+    reported, at = [], np.searchsorted(ts, last_reported + gap)
+    while at < len(ts):
+        last_reported = int(ts[at])
+        reported.append(last_reported)
+        at = np.searchsorted(ts, last_reported + gap)
+    counts = (min(activity + active, U32_MAX), min(refused + len(ts) - active, U32_MAX))
+    return (int(ts[-1]), end, *counts, last_reported), reported
