@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden import functions as fn
 from logwarden import rulesets, schemas
 from logwarden.operators import block, feed, firewall, known, match, report, rules, score, state, stats
-from logwarden.plans import demo
+from logwarden.plans import demo, log_check
 from logwarden.plans.demo import AS_OF, table
 from logwarden.settings import Settings
 from logwarden.sources import config_file, logs, reputation, state_file
-from logwarden.stage import written
+from logwarden.stage import shared_folder, written
+from logwarden.streaming.monitor import Monitor
 
 SETTINGS = Settings(report_all=True, default_comment="%d %i port %p: %m")
 
@@ -675,6 +679,20 @@ def report_responses(spark, sf_dir):
     )
 
 
+# -- streaming -----------------------------------------------------------------------
+
+
+def monitor_state(spark, sf_dir):
+    """The monitor follows the events as a stream; its state ends up as in a batch."""
+    folder = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
+    monitor = Monitor(folder, lambda session: config(demo_rules(session)))
+    monitor.start(demo.lines_from_events(events)).awaitTermination()
+    return monitor.state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -693,5 +711,6 @@ QUERIES = {
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,
         feed_read, feed_read_time, checks_read, check_reports, report_responses,
+        monitor_state,
     )
 }

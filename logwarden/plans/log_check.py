@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logwarden.operators import feed as feeds
@@ -34,12 +34,17 @@ class CheckResult:
 
 
 def check_lines(
-    lines: DataFrame, before: DataFrame, feed: DataFrame, config: Config, as_of: int
+    lines: DataFrame, before: DataFrame, feed: DataFrame, config: Config, as_of: int | None = None
 ) -> CheckResult:
     """Match lines, fold hits into the state, choose and render reports, and decide on
-    rules of changed addresses and of those whose block may have run out."""
+    rules of changed addresses and of those whose block may have run out. The lines are
+    read once; without ``as_of``, decisions are made at the latest time seen in them."""
     settings = config.settings
-    hits = written(match.match_rules(lines, config.rules))
+    seen = Observation()
+    watched = match.spread(lines).observe(seen, F.max("ts").alias("latest"))
+    hits = written(match.match_rules(watched, config.rules))
+    if as_of is None:
+        as_of = seen.get["latest"] or 0
     counted = written(known.known_refused(hits, before, feed))
     folded = written(state.changed_rows(before, counted, settings.multiplier, feed))
 

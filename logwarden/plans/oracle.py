@@ -491,6 +491,7 @@ ORACLE = {
           c_custkey AS reporter_id, 'LV' AS reporter_country_code, 'Latvia' AS reporter_country_name
         FROM c JOIN (VALUES (1), (2)) twice(n) ON c_custkey % 4 = 0
         UNION ALL SELECT ip, NULL, NULL, NULL, NULL, NULL, NULL FROM c WHERE c_custkey % 4 <> 0""",
+    "monitor_state": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
     "report_responses": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'ok' WHEN 3 THEN 'rejected'
           ELSE 'unreadable' END AS outcome,
         CASE WHEN o_orderkey % 5 IN (0, 3) THEN 'order ' || o_orderkey ELSE '' END AS errors,

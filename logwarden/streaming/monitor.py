@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logwarden import schemas
@@ -26,22 +25,21 @@ from logwarden.streaming.store import state_before, write_changes
 @dataclass(frozen=True)
 class Monitor:
     """``config`` is asked before every batch, so changed rules apply from the next one
-    on; ``feed`` gives the feed table; ``clock`` the time of a batch of lines (by
-    default the latest time in it)."""
+    on; ``feed`` gives the feed table; ``clock`` the time of a decision (by default the
+    latest time in the batch)."""
 
     folder: str
     config: Callable[[SparkSession], Config]
     feed: Callable[[SparkSession], DataFrame] | None = None
-    clock: Callable[[DataFrame], int] | None = None
+    clock: Callable[[], int] | None = None
 
     def check(self, lines: DataFrame, batch: int) -> None:
         """One batch: state changes, reports and firewall commands are written down."""
         spark = lines.sparkSession
-        lines = written(lines)
-        as_of = self.clock(lines) if self.clock else lines.agg(F.max("ts")).first()[0]
+        as_of = self.clock() if self.clock else None
         before = state_before(spark, f"{self.folder}/state", batch)
         feed = self.feed(spark) if self.feed else spark.createDataFrame([], schemas.FEED)
-        result = check_lines(lines, before, feed, self.config(spark), as_of or 0)
+        result = check_lines(lines, before, feed, self.config(spark), as_of)
         write_report_outbox(result.reports, f"{self.folder}/outbox", batch)
         result.plan.write.mode("overwrite").parquet(f"{self.folder}/plan/batch={batch}")
         write_changes(spark, f"{self.folder}/state", batch, before, written(result.changes))
