@@ -686,7 +686,7 @@ def monitor_state(spark, sf_dir):
     """The monitor follows the events as a stream; its state ends up as in a batch."""
     folder = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
     monitor = Monitor(folder, lambda session: config(demo_rules(session)))
     monitor.start(demo.lines_from_events(events)).awaitTermination()
