@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.dates import format_epoch
 from logwarden.functions.text import mask, render_comment, report_payload, truncate_comment
+from logwarden.operators.skew import salted_join
 from logwarden.settings import REPORT_GAP_SECONDS, Settings
 
 # Report category codes and names.
@@ -44,10 +45,12 @@ COVER_SECONDS = 3600
 
 def report_settings(hits: DataFrame, resolved: DataFrame) -> DataFrame:
     """Hits with ``report, categories, comment`` of their rule, as resolved by
-    `resolve_report_settings`. The rule table is configuration; whether it is small
-    enough to broadcast is left to the planner's own size check."""
+    `resolve_report_settings`. The rule table is configuration; it goes into the plan as
+    a local table, whose size the planner knows when it decides on a broadcast."""
     keys = ["log_group", "kind", "rule_idx"]
-    return hits.join(resolved.select(*keys, "report", "categories", "comment"), keys)
+    slim = resolved.select(*keys, "report", "categories", "comment")
+    known = hits.sparkSession.createDataFrame(slim.collect(), slim.schema)
+    return hits.join(known, keys)
 
 
 def reportable(hits: DataFrame, settings: Settings) -> DataFrame:
@@ -57,23 +60,27 @@ def reportable(hits: DataFrame, settings: Settings) -> DataFrame:
 
 
 def not_whitelisted(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of addresses that are not on the allow list. That list is kept by hand."""
-    return rows.join(state.filter("whitelisted").select("ip"), "ip", "left_anti").select(*rows.columns)
+    """Rows of addresses that are not on the allow list."""
+    listed = state.filter("whitelisted").select("ip")
+    counts = rows.groupBy("ip").agg(F.count("*").alias("n"))
+    return salted_join(rows, listed, "ip", counts, "left_anti").select(*rows.columns)
 
 
 def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_GAP_SECONDS) -> DataFrame:
     """Per address, report the first candidate and then each first one that is at least
     ``gap`` seconds after the last reported; a stored ``last_reported`` counts too.
+    Addresses on the allow list are not reported.
 
     Candidates are first cut down to one per address and second, which is all that can
     matter, so the ordered pass below sees at most one row per second of the log. It
     reads its partition as a stream and keeps one number per address.
     """
     firsts = candidates.groupBy("ip", "ts").agg(F.min_by(F.struct(*candidates.columns), "seq").alias("first"))
-    seen = state.select("ip", "last_reported")
+    seen = state.select("ip", "last_reported", "whitelisted")
     ordered = (
         firsts.select("ip", "ts")
         .join(seen, "ip", "left")
+        .filter(~F.coalesce("whitelisted", F.lit(False)))
         .select("ip", "ts", F.coalesce("last_reported", F.lit(0)).alias("last_reported"))
         .repartition("ip")
         .sortWithinPartitions("ip", "ts")

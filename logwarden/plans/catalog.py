@@ -263,14 +263,17 @@ def feed_plan(spark, sf_dir):
 # -- reports ----------------------------------------------------------------------
 
 
-def candidates(spark, sf_dir):
+def asked(spark, sf_dir):
     resolved = rules.resolve_report_settings(demo_rules(spark), demo_groups(spark), SETTINGS)
-    asked = report.report_settings(counted_hits(spark, sf_dir), resolved)
-    return report.not_whitelisted(report.reportable(asked, SETTINGS), demo.kept_state(spark, sf_dir))
+    return report.reportable(report.report_settings(counted_hits(spark, sf_dir), resolved), SETTINGS)
+
+
+def candidates(spark, sf_dir):
+    return report.not_whitelisted(written(asked(spark, sf_dir)), demo.kept_state(spark, sf_dir))
 
 
 def emitted(spark, sf_dir):
-    return report.throttle_reports(written(candidates(spark, sf_dir)), demo.kept_state(spark, sf_dir), gap=86400)
+    return report.throttle_reports(written(asked(spark, sf_dir)), demo.kept_state(spark, sf_dir), gap=86400)
 
 
 def report_settings(spark, sf_dir):

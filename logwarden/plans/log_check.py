@@ -50,8 +50,7 @@ def check_lines(
 
     resolved = rules.resolve_report_settings(config.rules, config.groups, settings)
     asked = report.reportable(report.report_settings(counted, resolved), settings)
-    candidates = report.not_whitelisted(asked, folded)
-    emitted = written(report.throttle_reports(candidates, folded))
+    emitted = written(report.throttle_reports(asked, folded))
     scored = written(report.mark_reported(folded, emitted))
 
     ruled = before.filter("has_rule").join(scored.select("ip"), "ip", "left_anti").select(*STATE_COLUMNS)

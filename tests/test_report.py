@@ -28,7 +28,10 @@ def test_throttle_is_the_greedy_choice(spark):
     rng.shuffle(rows)
     stored = {f"ip{i}": base + rng.randint(-2000, 2000) for i in range(0, 25, 3)}
     state = spark.createDataFrame([(ip, 0, 0, 0, 0, False, False, t, 4, False) for ip, t in stored.items()], STATE)
-    got = rp.throttle_reports(spark.createDataFrame(rows, "ip string, ts long, seq long"), state).collect()
+    allowed = spark.createDataFrame([("quiet", 0, 0, 0, 0, True, False, 0, 4, False)], STATE)
+    candidates = spark.createDataFrame(rows + [("quiet", base, 0)], "ip string, ts long, seq long")
+    got = rp.throttle_reports(candidates, state.unionByName(allowed)).collect()
+    assert "quiet" not in {r["ip"] for r in got}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for i in range(25):
         ip = f"ip{i}"
