@@ -18,56 +18,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from logwarden.llm import arrow
+from logwarden.llm.words import BASE, SPACE, Words, words_of
 from logwarden.stage import written
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20  # benchmark text searched for in one pass
 STRETCH = 256  # words that one search walks through
 
-_SPACE = 32
-_FOLD = np.full(256, _SPACE, np.uint8)
-_FOLD[0x30:0x3A] = np.arange(0x30, 0x3A)
-_FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
-_FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
-_FOLD[0x80:] = np.arange(0x80, 0x100)
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-class Words(NamedTuple):
-    text: bytes  # folded words, one space behind each
-    places: np.ndarray  # where each word begins in it, and its end
-    hashes: np.ndarray
-    rows: np.ndarray  # offsets of the rows in the words
-
-
-def words_of(column: pa.Array) -> Words:
-    data, ends = arrow.flat(column)
-    n = len(ends) - 1
-    spread = np.full(len(data) + n, _SPACE, np.uint8)
-    inside = np.ones(len(spread), bool)
-    inside[ends[1:] + np.arange(n)] = False  # a space behind each row
-    spread[inside] = _FOLD[data]
-    word = spread != _SPACE
-    before = np.zeros_like(word)
-    before[1:] = word[:-1]
-    starts = np.flatnonzero(word & ~before)
-    kept = spread[word | before]
-    lengths = np.flatnonzero(before & ~word) - starts
-    places = np.r_[0, np.cumsum(lengths + 1)]
-    powers = np.cumprod(np.full(len(kept), _BASE))
-    sums = np.r_[np.uint64(0), np.cumsum(kept * powers)]
-    back = np.cumprod(np.full(len(kept), _INVERSE))
-    hashes = (sums[places[:-1] + lengths] - sums[places[:-1]]) * back[places[:-1]]
-    hashes ^= hashes >> np.uint64(29)
-    return Words(kept.tobytes(), places, hashes * _MIX, np.searchsorted(starts, ends + np.arange(n + 1)))
+FOLD = np.full(256, SPACE, np.uint8)
+FOLD[0x30:0x3A] = np.arange(0x30, 0x3A)
+FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
+FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
+FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
 def block_hash(words: Words, ends: np.ndarray, length: int) -> np.ndarray:
     """Of the last two words (of one-word patterns, the word) at each position."""
     if length == 1:
         return words.hashes[ends]
-    out = words.hashes[ends - 1] * _BASE + words.hashes[ends]
+    out = words.hashes[ends - 1] * BASE + words.hashes[ends]
     return out ^ out >> np.uint64(31)
 
 
@@ -91,7 +60,7 @@ class Tables(NamedTuple):
 
 def tables_of(rows: list[tuple[str | None, str | None]], window: int) -> Tables:
     """Search tables of benchmark items (id, text)."""
-    words = words_of(arrow.texts(pa.array([text for _, text in rows], pa.string())))
+    words = words_of(arrow.texts(pa.array([text for _, text in rows], pa.string())), FOLD)
     counts = np.diff(words.rows)
     groups = []
     for length in np.unique(np.minimum(counts[counts > 0], window)).tolist():
@@ -144,7 +113,7 @@ def occurrences(words: Words, patterns: Patterns, text: bytes) -> tuple[np.ndarr
 def search(column: pa.Array, spans: pa.Array, found: pa.Array, tables: Tables) -> list[pa.Array]:
     """Word counts, hit stretches (first word, word behind) and item ids of each row; to
     the stretches and ids of an earlier pass new ones are added."""
-    words = words_of(column)
+    words = words_of(column, FOLD)
     n, rows = len(words.hashes), len(column)
     cover = np.zeros(n + 1, np.int64)
     earlier = spans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
