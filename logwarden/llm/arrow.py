@@ -83,8 +83,6 @@ def first_labels(labels: DataFrame, flag: str, usable: Column, rows: int) -> Dat
     """At most ``rows`` labelled ids: those of ``usable`` rows with least hash. An id with
     both labels teaches nothing and is left out. Only (doc_id, label) of these few are
     gathered, so joining with them can be done by broadcast."""
-    from pyspark.sql import functions as F
-
     one = (
         labels.where(usable & F.col("doc_id").isNotNull() & F.col(flag).isin(0, 1))
         .groupBy("doc_id").agg(F.min(flag).alias("label"), F.max(flag).alias("\x01most"))

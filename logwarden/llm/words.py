@@ -37,7 +37,7 @@ def words_of(column: pa.Array, fold: np.ndarray) -> Words:
     lengths = np.flatnonzero(before & ~word) - starts
     places = np.r_[0, np.cumsum(lengths + 1)]
     powers = np.cumprod(np.full(len(kept), BASE))
-    sums = np.r_[np.uint64(0), np.cumsum(kept * powers)]
+    sums = np.r_[np.uint64(0), np.cumsum((kept + np.uint64(1)) * powers)]  # a zero byte counts too
     back = np.cumprod(np.full(len(kept), _INVERSE))
     hashes = (sums[places[:-1] + lengths] - sums[places[:-1]]) * back[places[:-1]]
     hashes ^= hashes >> np.uint64(29)
