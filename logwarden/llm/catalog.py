@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bpe, decontaminate, minhash, quality_classifier, quality_rules, token_counts, toxicity
+from logwarden.llm import bpe, decontaminate, html_text, minhash, quality_classifier, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, quality_classifier.learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_html_text": op6_html_text,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
