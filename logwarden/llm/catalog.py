@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bpe, decontaminate, html_text, minhash, quality_classifier, quality_rules, token_counts, toxicity
+from logwarden.llm import bpe, decontaminate, html_text, minhash, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, quality_classifier.learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_url_filter": op5_url_filter,
     "op6_html_text": op6_html_text,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
@@ -58,5 +63,6 @@ QUERIES = {
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
     "op7_near_duplicates": minhash.ORACLE,
 }

@@ -170,6 +170,16 @@ def _pass(docs: DataFrame, tables: Tables) -> DataFrame:
     return docs.mapInArrow(run, StructType([*fields, *FOUND]))
 
 
+def blocks(benchmark: DataFrame, window: int):
+    """(is it the last, search tables) of blocks of items with about ``BLOCK_BYTES`` of text."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // BLOCK_BYTES))
+    for block in range(count):
+        mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block
+        rows = benchmark.where(mine).select(F.col("item_id").cast("string"), "text").collect()
+        yield block + 1 == count, tables_of([tuple(r) for r in rows], window)
+
+
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW,
 ) -> DataFrame:
@@ -183,20 +193,29 @@ def benchmark_hits(
     ``BLOCK_BYTES`` that are searched for one after the other, in as many passes as its
     size takes, so what executors hold at once does not grow with it.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     empty = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
              F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")]
     state = docs.select(F.col(text).cast("string").alias("\x01text"), *keep, *empty)
-    for block in range(blocks):
-        mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block
-        rows = benchmark.where(mine).select(F.col("item_id").cast("string"), "text").collect()
-        state = _pass(state, tables_of([tuple(r) for r in rows], window))
-        if block + 1 < blocks:
-            state = written(state)
+    for last, tables in blocks(benchmark, window):
+        state = _pass(state, tables)
+        state = state if last else written(state)
     return state.drop("\x01text")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, without an occurrence of any benchmark window."""
+    for last, tables in blocks(benchmark, window):
+
+        def clean(column, tables=tables):
+            spans = pa.array([[]] * len(column), pa.list_(pa.int32()))
+            items = pa.array([[]] * len(column), pa.list_(pa.string()))
+            return search(column, spans, items, tables)[1].to_numpy() == 0
+
+        docs = arrow.keep_rows(docs, text, clean)
+        docs = docs if last else written(docs)
+    return docs
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Counts and a digest of the items, by document."""
     return benchmark_hits(docs, benchmark).select(
