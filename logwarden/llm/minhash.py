@@ -42,7 +42,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     words = words_of(column, FOLD)
     n = len(words.hashes)
     hashes = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         part = words.hashes[k:]
         hashes[:n - k] = (hashes[:n - k] ^ hashes[:n - k] >> np.uint64(32)) * _STEPS[0] + part * _STEPS[k % 4]
     hashes ^= hashes >> np.uint64(29)

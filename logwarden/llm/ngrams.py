@@ -93,7 +93,8 @@ def sums(ends: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> np.ndarray
 
 def families(ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Of each row the first row of its family: rows that agree in one of four bands of
-    three least hashes are taken for copies of each other. For samples, not for tables."""
+    three least hashes, and in seven tenths of their slots, are taken for copies of each
+    other. For samples, not for tables."""
     n = len(ends) - 1
     parent = list(range(n))
 
@@ -109,8 +110,14 @@ def families(ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
         for band in range(4):
             seen: dict = {}
             for row, key in zip(filled.tolist(), zip(*(m.tolist() for m in least[3 * band:3 * band + 3]))):
-                a, b = sorted((top(seen.setdefault(key, row)), top(row)))
-                parent[b] = a
+                other = seen.setdefault(key, row)
+                a, b = sorted((top(other), top(row)))
+                if a == b:
+                    continue
+                x, y = slots[ends[other]:ends[other + 1]], slots[ends[row]:ends[row + 1]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 10 * common >= 7 * (len(x) + len(y) - common):
+                    parent[b] = a
     return np.array([top(k) for k in range(n)], np.int64)
 
 

@@ -22,7 +22,7 @@ from logwarden.llm import arrow, ngrams
 BITS = 17
 POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 4_000
 LEAST_PRIOR, MOST_PRIOR = 0.01, 0.9
-STEPS, RATE, DECAY = 300, 0.05, 3e-3
+STEPS, RATE, DECAY = 300, 0.05, 1e-3
 FROM = 0.5
 SURE = 4.5  # standard errors by which a slot must be more common among positives
 
