@@ -225,15 +225,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     marked = written(arrow.map_texts(
         docs, [F.col(id).alias("doc_id")], F.col(text),
         [StructField("n_shingles", LongType()), StructField("digest", BinaryType()), StructField("bands", ArrayType(LongType()))],
-        lambda column: signature_rows(column, size, ROWS, BANDS), 2 << 20,
+        lambda column: signature_rows(column, size, ROWS, BANDS), 1 << 19,
     ))
     classes = written(
         marked.where("digest is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
         .withColumn("node", F.xxhash64("digest"))
     )
     roots = candidates(classes.select("node", "bands"))
-    members = written(classes.drop("bands").join(roots, "node").drop("node"))
+    members = written(classes.drop("bands", "copies").join(roots, "node").drop("node"))
     picked = members.select(F.col("first_id").alias("\x01id"), F.col("digest").alias("\x01digest"))
     if members.count() <= SMALL_LIST:
         picked = F.broadcast(picked)
@@ -248,10 +248,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     whole = joined.join(classes.select(F.col("digest").alias("node"), "first_id"), "node")
     least = whole.groupBy("root").agg(F.min("first_id").alias("least_id"))
     found = whole.join(least, "root").select(F.col("node").alias("digest"), "least_id")
-    # A class alone needs a look-up only if it has copies, so most rows meet no partner.
-    lookup = classes.select("digest", "first_id").join(found, "digest", "left").select("digest", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Most rows are alone; the table of those that are not stands on its own, so that the
+    # join with a class of very many copies can be split.
+    lookup = written(
+        classes.select("digest", "first_id", "copies").join(found, "digest", "left").where("copies > 1 or least_id is not null")
+        .select("digest", F.coalesce("least_id", "first_id").alias("component_id"), F.lit(True).alias("known"))
+    )
     return marked.drop("bands").join(lookup, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
