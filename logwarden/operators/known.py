@@ -32,10 +32,11 @@ def _with_knowledge(hits: DataFrame, state: DataFrame | None, feed: DataFrame |
         F.min(F.when(F.col("kind") == "activity", at)).alias("first_activity"),
     )
     known = seen.select("ip", "first_activity", F.lit(False).alias("listed"))
+    asked = seen.filter("n > 0").select("ip")  # nothing else of the state and the feed is moved
     for listed in (state, feed):
         if listed is not None:
             known = known.unionByName(
-                listed.select("ip", F.lit(None).cast(seen.schema["first_activity"].dataType).alias("first_activity"),
+                listed.join(asked, "ip", "left_semi").select("ip", F.lit(None).cast(seen.schema["first_activity"].dataType).alias("first_activity"),
                               F.lit(True).alias("listed"))
             )
     known = known.groupBy("ip").agg(

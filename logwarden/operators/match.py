@@ -7,8 +7,6 @@ text the rule requires stands before each regex.
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from logwarden.functions.net import ip_version as version_of
 from logwarden.functions.net import normalize_ip
 from logwarden.operators.rules import required_texts, usable_rules
 
-HIT_COLUMNS = ["seq", "ts", "log_group", "kind", "rule_idx", "score", "ip", "ip_version", "port", "line"]
+HIT_COLUMNS = ["seq", "ts", "log_group", "kind", "rule_idx", "score", "ip", "ip_version", "port", "line", "group_idx"]
 
 
 def match_line(line: Column, regex: str) -> Column:
@@ -32,17 +30,21 @@ def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """One hit per line and rule kind: the first rule of the line's group that
     matches. Activity and refused rules are tried independently.
 
-    ``lines`` has ``log_group, ts, seq, line``; ``ts`` is epoch seconds.
+    ``lines`` has ``log_group, ts, seq, line``; ``ts`` is epoch seconds. A configuration may
+    have several groups of one name: where ``lines`` has ``group_idx`` too, it says which one
+    a line belongs to, else the rules of all of them are tried in order. ``group_idx`` of a
+    hit is the group of its rule.
     """
     usable = usable_rules(rules)
+    key = "group_idx" if "group_idx" in lines.columns else "log_group"
     if not usable:
         firsts = [F.lit(None).cast("int")]
     else:
         numbered = list(enumerate(usable))
         kinds = sorted({r["kind"] for r in usable})
-        firsts = [F.expr(_first_in_group([x for x in numbered if x[1]["kind"] == k])) for k in kinds]
+        firsts = [F.expr(_first_in_group([x for x in numbered if x[1]["kind"] == k], key)) for k in kinds]
     firsts = [first.alias(f"rule_{n}") for n, first in enumerate(firsts)]
-    searched = spread(lines).select("seq", "ts", "log_group", "line", *firsts)
+    searched = lines.select("seq", "ts", "log_group", "line", *firsts)
     per_hit = searched.select(
         "seq", "ts", "log_group", "line", F.explode(F.array(*searched.columns[4:])).alias("rule_pos")
     ).filter(F.col("rule_pos").isNotNull())
@@ -57,6 +59,7 @@ def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
         normalize_ip(F.col("found")[0]).alias("ip"),
         F.nullif(F.col("found")[1], F.lit("")).cast("int").alias("port"),
         "line",
+        _lookup([r["group_idx"] for r in usable], "int").alias("group_idx"),
     ).select(*[c if c != "ip_version" else version_of("ip").alias(c) for c in HIT_COLUMNS])
 
 
@@ -65,11 +68,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def _first_in_group(numbered: list) -> str:
+def _first_in_group(numbered: list, key: str) -> str:
     """Number of the first matching rule among those of the line's own group."""
+    groups: dict = {}
+    for x in numbered:
+        groups.setdefault(x[1][key], []).append(x)
     branches = [
-        f"WHEN log_group = {quoted(group)} THEN {_first_match(list(members))}"
-        for group, members in groupby(numbered, key=lambda x: x[1]["log_group"])
+        f"WHEN {key} = {quoted(group) if key == 'log_group' else group} THEN {_first_match(members)}"
+        for group, members in groups.items()
     ]
     return f"CASE {' '.join(branches)} END"
 
@@ -107,13 +113,6 @@ def shared_text(texts: list[list[str]]) -> str:
     return max(sorted(common), key=len, default="")
 
 
-def spread(lines: DataFrame) -> DataFrame:
-    """Lines over all cores when the input comes in fewer pieces than there are cores,
-    as with one small file; large inputs are left as they are scanned."""
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
-
-
 def _lookup(values: list, type_: str) -> Column:
     items = ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in values)
     return F.expr(f"get(cast(array({items}) AS array<{type_}>), rule_pos)")

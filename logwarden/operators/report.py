@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.functions.dates import format_epoch
@@ -47,7 +47,7 @@ def report_settings(hits: DataFrame, resolved: DataFrame) -> DataFrame:
     """Hits with ``report, categories, comment`` of their rule, as resolved by
     `resolve_report_settings`. The rule table is configuration; it goes into the plan as
     a local table, whose size the planner knows when it decides on a broadcast."""
-    keys = ["log_group", "kind", "rule_idx"]
+    keys = ["group_idx" if "group_idx" in hits.columns else "log_group", "kind", "rule_idx"]
     slim = resolved.select(*keys, "report", "categories", "comment")
     known = hits.sparkSession.createDataFrame(slim.collect(), slim.schema)
     return hits.join(known, keys)
@@ -164,23 +164,19 @@ def suppress_rate_limited(reports: DataFrame, responses: DataFrame) -> DataFrame
     """Drop reports that fall into a pause ordered by the receiver: from a response
     ``ts, retry_after`` until ``retry_after`` seconds later.
 
-    Pauses are cut at the hour, so this is an equi join with a range test on top, and
-    per hour only the longest pause of each start is kept.
+    A second is paused if the latest end of a pause so far lies behind it. That is a
+    running maximum within the hour, of one row per second, and what earlier hours carry
+    over, of one row per hour; however long a pause is, it stays one row.
     """
-    until = F.col("ts") + F.col("retry_after")
-    hours = F.sequence(F.floor(F.col("ts") / COVER_SECONDS), F.floor((until - 1) / COVER_SECONDS))
-    pauses = (
-        responses.filter("retry_after > 0")
-        .groupBy("ts").agg(F.max("retry_after").alias("retry_after"))
-        .select(F.col("ts").alias("paused_from"), until.alias("paused_until"), F.explode(hours).alias("hour"))
-    )
-    timed = reports.withColumn("hour", F.floor(F.col("ts") / COVER_SECONDS))
-    in_pause = (
-        (timed["hour"] == pauses["hour"])
-        & (timed["ts"] >= pauses["paused_from"])
-        & (timed["ts"] < pauses["paused_until"])
-    )
-    return timed.join(pauses, in_pause, "left_anti").select(*reports.columns)
+    ends = responses.filter("retry_after > 0").groupBy("ts").agg((F.col("ts") + F.max("retry_after")).alias("until"))
+    seconds = reports.select("ts").distinct().withColumn("until", F.lit(None).cast("bigint"))
+    at = ends.unionByName(seconds).groupBy("ts").agg(F.max("until").alias("until"))
+    at = at.withColumn("hour", F.floor(F.col("ts") / COVER_SECONDS))
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = at.groupBy("hour").agg(F.max("until").alias("latest")).select("hour", F.max("latest").over(before).alias("carried"))
+    so_far = Window.partitionBy("hour").orderBy("ts")
+    paused = at.withColumn("until", F.max("until").over(so_far)).join(carried, "hour").filter(F.greatest("until", "carried") > F.col("ts"))
+    return reports.join(paused.select("ts"), "ts", "left_anti").select(*reports.columns)
 
 
 def category_names(reports: DataFrame) -> DataFrame:

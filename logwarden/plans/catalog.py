@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +35,23 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_rules(demo.log_lines(spark, sf_dir), demo_rules(spark))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits as a table: matching is the costly pass, and what follows reads them
-    several times."""
-    return written(matched(spark, sf_dir))
+COUNTED = ("seq", "ts", "kind", "score", "ip", "ip_version")
 
 
-def counted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Hits as a table: matching is the costly pass, and what follows reads them several
+    times. With ``columns`` only those are written down."""
+    found = matched(spark, sf_dir)
+    return written(found.select(*columns) if columns else found)
+
+
+def counted_hits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Hits without refused ones of unknown addresses."""
-    return known.known_refused(hits(spark, sf_dir))
+    return known.known_refused(hits(spark, sf_dir, *columns))
 
 
 def scored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.state_from_hits(counted_hits(spark, sf_dir), SETTINGS.multiplier)
+    return state.state_from_hits(counted_hits(spark, sf_dir, *COUNTED), SETTINGS.multiplier)
 
 
 def listed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,21 +68,80 @@ def listed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_first_rule(spark, sf_dir):
-    return matched(spark, sf_dir).filter("kind = 'activity'")
+    return matched(spark, sf_dir).filter("kind = 'activity'").drop("group_idx")
 
 
 def match_refused(spark, sf_dir):
-    return matched(spark, sf_dir).filter("kind = 'refused'")
+    return matched(spark, sf_dir).filter("kind = 'refused'").drop("group_idx")
+
+
+def _own_rules(spark, patterns):
+    """Activity rules (group, group number, pattern, score, categories)."""
+    rows = [(g, n, "activity", k, p, s, True, c, None) for k, (g, n, p, s, c) in enumerate(patterns)]
+    return spark.createDataFrame(rows, schemas.RULES)
+
+
+def match_escapes(spark, sf_dir):
+    """Rules that write characters by number."""
+    own = _own_rules(spark, [
+        ("OpenSSH", 0, r"^.+? R\x4F\u004FT LOGIN REFUSED FROM\x20%i", 7, []),
+        ("OpenSSH", 0, r"^.+? Invalid\cJ? user \p{Alnum}+ from %i port %p", 8, []),
+        ("ApacheAccess", 1, r"^%i .+?GET [\]/]php\x{4d}yAdmin[/\]] HTTP.*", 9, []),
+    ])
+    found = match.match_rules(demo.log_lines(spark, sf_dir), own)
+    return found.select("seq", "rule_idx", "score", "ip", "port")
+
+
+def match_posix(spark, sf_dir):
+    """Rules with named character classes."""
+    own = _own_rules(spark, [
+        ("OpenSSH", 0, r"^.+? sshd\[[[:digit:]]+\]: ROOT LOGIN[[:space:]]REFUSED FROM %i", 7, []),
+        ("OpenSSH", 0, r"^.+? Invalid user [^[:space:][:punct:]]+ from %i port %p", 8, []),
+        ("ApacheAccess", 1, r"^%i [^[:alpha:]]+\[[[:xdigit:][:punct:]]+[[:alpha:]]+.*GET /[[:lower:]]+Admin/.*", 9, []),
+    ])
+    found = match.match_rules(demo.log_lines(spark, sf_dir), own)
+    return found.select("seq", "rule_idx", "score", "ip", "port")
+
+
+def rule_problems(spark, sf_dir):
+    """A rule for every supplier, of which some cannot be used."""
+    key, name = F.col("s_suppkey"), F.replace("s_name", F.lit("#"), F.lit("-"))
+    shapes = [F.lit("%i "), F.lit("(?P<n>b) %i "), F.lit("%i [[:digit:]]+ "), F.lit("(%i "), F.lit("no place "), F.lit("%i [a-")]
+    pattern = F.concat(F.element_at(F.array(*shapes), (key % len(shapes) + 1).cast("int")), name)
+    own = table(spark, sf_dir, "supplier").select(
+        F.lit("G").alias("log_group"), F.lit(0).alias("group_idx"), F.lit("activity").alias("kind"), key.cast("int").alias("rule_idx"),
+        pattern.alias("pattern"), F.lit(1).cast("long").alias("score"), F.lit(None).cast("boolean").alias("report"),
+        F.array().cast("array<int>").alias("categories"), F.lit(None).cast("string").alias("comment"),
+    )
+    return rules.rule_problems(own).select("rule_idx", (F.col("error") == "no address placeholder in pattern").alias("no_place"))
+
+
+def repeated_groups(spark, sf_dir):
+    """Two groups of one name, each with its own rules, categories and lines."""
+    own = _own_rules(spark, [
+        ("OpenSSH", 0, r"^.+? Invalid user .+? from %i port %p", 3, []), ("ApacheAccess", 1, r"^%i .+?/phpMyAdmin/.*", 4, []),
+        ("OpenSSH", 2, r"^.+? Invalid user .+? from %i port %p", 5, []),
+    ]).withColumn("rule_idx", F.lit(0))
+    groups = spark.createDataFrame(
+        [("OpenSSH", 0, None, [18], None), ("ApacheAccess", 1, None, [21], None), ("OpenSSH", 2, None, [22, 15], None)], schemas.GROUPS
+    )
+    lines = demo.log_lines(spark, sf_dir)
+    place = F.when(F.col("log_group") == "ApacheAccess", 1).when(F.col("seq") % 2 == 0, 0).otherwise(2)
+    found = match.match_rules(lines.withColumn("group_idx", place), own)
+    resolved = rules.resolve_report_settings(own, groups, SETTINGS)
+    return report.report_settings(found, resolved).select(
+        "seq", "group_idx", "score", "ip", fn.categories_csv("categories").alias("categories")
+    )
 
 
 def known_refused(spark, sf_dir):
     return known.known_refused(
-        hits(spark, sf_dir), demo.kept_state(spark, sf_dir).filter("whitelisted"), demo.feed(spark, sf_dir, True)
+        hits(spark, sf_dir, *COUNTED, "rule_idx"), demo.kept_state(spark, sf_dir), demo.feed(spark, sf_dir, True)
     ).filter("kind = 'refused'").select("seq", "ts", "ip", "rule_idx", "score")
 
 
 def unknown_refused(spark, sf_dir):
-    return known.unknown_refused(hits(spark, sf_dir)).select("seq", "ts", "ip")
+    return known.unknown_refused(hits(spark, sf_dir, *COUNTED)).select("seq", "ts", "ip")
 
 
 def attach_state(spark, sf_dir):
@@ -89,12 +153,12 @@ def attach_state(spark, sf_dir):
 
 
 def decayed_score(spark, sf_dir):
-    scored = score.decayed_score(written(counted_hits(spark, sf_dir)), SETTINGS.multiplier)
+    scored = score.decayed_score(counted_hits(spark, sf_dir, *COUNTED), SETTINGS.multiplier)
     return scored.select("ip", "ts", "seq", "kind", "score", "running_score")
 
 
 def growing_score(spark, sf_dir):
-    scored = score.decayed_score(written(counted_hits(spark, sf_dir)), 0)
+    scored = score.decayed_score(counted_hits(spark, sf_dir, *COUNTED), 0)
     return scored.select("ip", "ts", "seq", "running_score")
 
 
@@ -104,7 +168,7 @@ def state_after(spark, sf_dir):
 
 def state_update(spark, sf_dir):
     before = demo.kept_state(spark, sf_dir)
-    counted = known.known_refused(hits(spark, sf_dir), before)
+    counted = known.known_refused(hits(spark, sf_dir, *COUNTED), before)
     return state.update_state(before, counted, SETTINGS.multiplier)
 
 
@@ -121,7 +185,7 @@ def saturated_state(spark, sf_dir):
     top = F.lit(4294967295).cast("bigint")
     full = demo.kept_state(spark, sf_dir)
     full = full.withColumn("score", top).withColumn("activity_count", top - 3).withColumn("refused_count", top - 1)
-    changed = state.changed_rows(full, hits(spark, sf_dir), SETTINGS.multiplier)
+    changed = state.changed_rows(full, hits(spark, sf_dir, *COUNTED), SETTINGS.multiplier)
     return changed.select("ip", "last_activity", "score", "activity_count", "refused_count")
 
 
@@ -129,14 +193,14 @@ def saturated_state(spark, sf_dir):
 
 
 def block_episodes(spark, sf_dir):
-    steps = score.per_second(counted_hits(spark, sf_dir), SETTINGS.multiplier)
+    steps = score.per_second(counted_hits(spark, sf_dir, *COUNTED), SETTINGS.multiplier)
     return block.block_episodes(steps, SETTINGS)
 
 
 def block_starts(spark, sf_dir):
     """Without decay blocks never end."""
     forever = Settings(multiplier=0, block_score=100)
-    return block.block_episodes(score.per_second(counted_hits(spark, sf_dir), 0), forever)
+    return block.block_episodes(score.per_second(counted_hits(spark, sf_dir, *COUNTED), 0), forever)
 
 
 def blocked_now(spark, sf_dir):
@@ -297,10 +361,10 @@ def last_reported(spark, sf_dir):
 
 
 def rate_limited(spark, sf_dir):
-    pauses = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
-        fn.epoch_seconds("ts").alias("ts"), (F.col("event_id") * 37 % 5000).alias("retry_after")
+    pauses = table(spark, sf_dir, "events").select(
+        fn.epoch_seconds("ts").alias("ts"), (F.greatest(F.col("event_id") * 37 % 5000 - 4900, F.lit(0)) * 60).alias("retry_after")
     )
-    return report.suppress_rate_limited(hits(spark, sf_dir).select("seq", "ts", "ip"), pauses)
+    return report.suppress_rate_limited(hits(spark, sf_dir, "seq", "ts", "ip"), pauses)
 
 
 def category_names(spark, sf_dir):
@@ -696,6 +760,68 @@ def monitor_state(spark, sf_dir):
     return monitor.state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
 
 
+def _quiet_monitor(spark, sf_dir, **given):
+    """A monitor that has read all events, with rules at the time of the last of them."""
+    folder = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
+    config = partial(log_check.Config, groups=demo_groups(spark))
+    box = {"settings": SETTINGS}
+    monitor = Monitor(folder, lambda session: config(demo_rules(session), settings=box["settings"]), **given)
+    monitor.check(demo.log_lines(spark, sf_dir), 0)
+    return monitor, box
+
+
+def monitor_expiry(spark, sf_dir):
+    """No more lines come, and all blocks run out."""
+    monitor, _ = _quiet_monitor(spark, sf_dir)
+    monitor.tick(spark, AS_OF + 10**8)
+    return monitor.commands(spark).select("ip", "action")
+
+
+def monitor_feed_sync(spark, sf_dir):
+    """A feed is fetched once it is due, a failure is made good 300 seconds later."""
+    calls = []
+
+    def fetch(session):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("service not reached")
+        return demo.feed(session, sf_dir, False)
+
+    monitor, box = _quiet_monitor(spark, sf_dir, fetch=fetch)
+    box["settings"] = replace(SETTINGS, feed_interval=86400)
+    for late in (0, 200, 300, 400):
+        monitor.tick(spark, AS_OF + 10**8 + late)
+    ruled = monitor._feed(spark).select("ip", "confidence", "has_rule")
+    return ruled.withColumn("fetches", F.lit(len(calls)))
+
+
+def monitor_template(spark, sf_dir):
+    """The rule template changes while rules are set."""
+    monitor, box = _quiet_monitor(spark, sf_dir)
+    monitor.tick(spark, AS_OF - 10**7)
+    box["settings"] = replace(SETTINGS, rule_template="-s %i -j REJECT")
+    monitor.tick(spark, AS_OF - 10**7)
+    return monitor.commands(spark).select("ip", "action", "command")
+
+
+def stream_equals_batch(spark, sf_dir):
+    """Ten files of events in order of time, one for each batch, with a new start of the
+    stream in the middle: the state ends up as in one batch."""
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    place = F.least(F.floor((fn.epoch_seconds("ts") - int(low.timestamp())) * 10 / (int(high.timestamp()) - int(low.timestamp()) + 1)), F.lit(9))
+    sliced = written(events.withColumn("slice", place.cast("int")))
+    config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
+    monitor = Monitor(f"{folder}/monitor", lambda session: config(demo_rules(session)))
+    for half in (range(5), range(5, 10)):
+        for k in half:
+            sliced.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        monitor.start(demo.lines_from_events(stream)).awaitTermination()
+    return monitor.state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -710,10 +836,11 @@ QUERIES = {
         mask_text, mask_list, comment_rendering, payload,
         ip_version, ip6_format, trim, format_epoch, offset_times, headers, categories, scalar_parsers,
         state_import, state_duplicates, feed_import, bookmark_import, sync_import, state_load_report,
+        match_escapes, match_posix, rule_problems, repeated_groups,
         rules_load, rules_compile, rules_rejected, groups_load, files_load, settings_load,
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,
         feed_read, feed_read_time, checks_read, check_reports, report_responses,
-        monitor_state,
+        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch,
     )
 }

@@ -41,7 +41,7 @@ def check_lines(
     read once; without ``as_of``, decisions are made at the latest time seen in them."""
     settings = config.settings
     seen = Observation()
-    watched = match.spread(lines).observe(seen, F.max("ts").alias("latest"))
+    watched = lines.observe(seen, F.max("ts").alias("latest"))
     hits = written(match.match_rules(watched, config.rules))
     if as_of is None:
         as_of = seen.get["latest"] or 0

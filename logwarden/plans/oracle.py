@@ -40,13 +40,19 @@ LINES = f"""{EV}, log_lines AS (
 # against the rules themselves.
 HITS = f"""{LINES}, hits AS (
   SELECT seq, ts, ip, user_id, log_group, line,
-    CASE WHEN event_type = 'purchase' THEN 'refused' ELSE 'activity' END AS kind,
+    event_type, CASE WHEN event_type = 'purchase' THEN 'refused' ELSE 'activity' END AS kind,
     CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 3 WHEN 'click' THEN 2
       ELSE ([0, 2, 5, 10])[seq % 4 + 1] END AS rule_idx,
     CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 20 WHEN 'click' THEN 2 ELSE 5 END AS score,
     CASE WHEN event_type = 'error' THEN seq % 60000 + 1024 WHEN event_type = 'purchase' AND seq % 4 = 3 THEN 8090 END AS port
   FROM log_lines WHERE event_type <> 'view')"""
 
+# Three rules, each of them for one event type.
+NUMBERED_RULES = f"""WITH {HITS} SELECT seq, CAST(CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS INTEGER) AS rule_idx,
+    CAST(CASE event_type WHEN 'signup' THEN 7 WHEN 'error' THEN 8 ELSE 9 END AS BIGINT) AS score, ip,
+    CASE WHEN event_type = 'error' THEN CAST(port AS INTEGER) END AS port
+    FROM hits WHERE event_type IN ('signup', 'error', 'click')"""
+
 KNOWN = f"""{HITS}, counted AS (
   SELECT * FROM hits h WHERE kind = 'activity' OR EXISTS (
     SELECT 1 FROM hits a WHERE a.ip = h.ip AND a.kind = 'activity' AND (a.ts, a.seq) <= (h.ts, h.seq)))"""
@@ -129,6 +135,7 @@ STATE = f"""{scored_sql()}, final AS (
   state AS (SELECT *, last_activity % 17 = 0 AS whitelisted, last_activity % 17 = 1 AS blacklisted FROM final)"""
 
 OVER = f"{AS_OF} < last_activity + score - 36000"
+OVER_AT_END = "score > 0 AND (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events) < last_activity + score - 36000"
 STATUS = f"""CASE WHEN whitelisted THEN 'whitelisted' WHEN blacklisted THEN 'blacklisted'
   WHEN {OVER} THEN strftime(make_timestamp((last_activity + score) * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '' END"""
 VERSION = "CASE WHEN contains(ip, ':') THEN 6 ELSE 4 END"
@@ -313,11 +320,19 @@ EPISODES = f"""{scored_sql()}, flagged AS (
   HAVING min(ts) FILTER (s > 36000) IS NOT NULL"""
 
 ORACLE = {
+    "match_escapes": NUMBERED_RULES,
+    "match_posix": NUMBERED_RULES,
+    "rule_problems": """SELECT CAST(s_suppkey AS INTEGER) AS rule_idx, s_suppkey % 6 = 4 AS no_place
+        FROM supplier WHERE s_suppkey % 6 IN (1, 3, 4, 5)""",
+    "repeated_groups": f"""WITH {HITS} SELECT seq, CAST(CASE WHEN event_type = 'click' THEN 1 ELSE seq % 2 * 2 END AS INTEGER) AS group_idx,
+        CAST(CASE WHEN event_type = 'click' THEN 4 WHEN seq % 2 = 0 THEN 3 ELSE 5 END AS BIGINT) AS score, ip,
+        CASE WHEN event_type = 'click' THEN '21' WHEN seq % 2 = 0 THEN '18' ELSE '22,15' END AS categories
+        FROM hits WHERE event_type IN ('error', 'click')""",
     "match_first_rule": match_sql("activity"),
     "match_refused": match_sql("refused"),
     "known_refused": f"""WITH {HITS}, {KEPT}, {FEEDS}
       SELECT seq, ts, ip, rule_idx, CAST(score AS BIGINT) AS score FROM hits h WHERE kind = 'refused' AND (
-        ip IN (SELECT ip FROM kept WHERE whitelisted) OR ip IN (SELECT ip FROM old_feed) OR EXISTS (
+        ip IN (SELECT ip FROM kept) OR ip IN (SELECT ip FROM old_feed) OR EXISTS (
           SELECT 1 FROM hits a WHERE a.ip = h.ip AND a.kind = 'activity' AND (a.ts, a.seq) <= (h.ts, h.seq)))""",
     "unknown_refused": f"""WITH {HITS} SELECT seq, ts, ip FROM hits h WHERE kind = 'refused' AND NOT EXISTS (
         SELECT 1 FROM hits a WHERE a.ip = h.ip AND a.kind = 'activity' AND (a.ts, a.seq) <= (h.ts, h.seq))""",
@@ -409,7 +424,7 @@ ORACLE = {
     "last_reported": f"""{chosen_sql()} SELECT k.ip, greatest(k.last_reported, coalesce(max(e.ts), 0)) AS last_reported
         FROM kept k LEFT JOIN emitted e ON e.ip = k.ip GROUP BY k.ip, k.last_reported""",
     "rate_limited": f"""WITH {HITS} SELECT seq, ts, ip FROM hits h WHERE NOT EXISTS (
-        SELECT 1 FROM ev p WHERE p.event_type = 'purchase' AND h.ts >= p.ts AND h.ts < p.ts + p.seq * 37 % 5000)""",
+        SELECT 1 FROM ev p WHERE p.seq * 37 % 5000 > 4900 AND h.ts >= p.ts AND h.ts < p.ts + greatest(p.seq * 37 % 5000 - 4900, 0) * 60)""",
     "category_names": f"""WITH {CANDIDATES}, names(category, category_name) AS (VALUES {CATEGORY_VALUES}),
         one AS (SELECT seq, kind, CAST(unnest(string_split(categories, ',')) AS INTEGER) AS category FROM candidates)
         SELECT seq, kind, category, category_name FROM one LEFT JOIN names USING (category)""",
@@ -491,6 +506,15 @@ ORACLE = {
           c_custkey AS reporter_id, 'LV' AS reporter_country_code, 'Latvia' AS reporter_country_name
         FROM c JOIN (VALUES (1), (2)) twice(n) ON c_custkey % 4 = 0
         UNION ALL SELECT ip, NULL, NULL, NULL, NULL, NULL, NULL FROM c WHERE c_custkey % 4 <> 0""",
+    "stream_equals_batch": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
+    "monitor_expiry": f"""{STATE}, blocked AS (SELECT ip FROM state WHERE {OVER_AT_END})
+        SELECT ip, action FROM blocked, (VALUES ('ADD'), ('REMOVE')) a(action)""",
+    "monitor_template": f"""{STATE}, blocked AS (
+          SELECT ip, CASE WHEN ip LIKE '%:%' THEN 'ip6tables' ELSE 'iptables' END AS tool FROM state WHERE {OVER_AT_END})
+        SELECT ip, 'ADD' AS action, tool || ' -I INPUT 1 -s ' || ip || ' -j DROP' AS command FROM blocked UNION ALL
+        SELECT ip, 'REMOVE', tool || ' -D INPUT -s ' || ip || ' -j DROP' FROM blocked UNION ALL
+        SELECT ip, 'ADD', tool || ' -I INPUT 1 -s ' || ip || ' -j REJECT' FROM blocked""",
+    "monitor_feed_sync": f"""WITH {FEEDS} SELECT ip, confidence, confidence >= 90 AS has_rule, 2 AS fetches FROM new_feed""",
     "monitor_state": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
     "report_responses": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'ok' WHEN 3 THEN 'rejected'
           ELSE 'unreadable' END AS outcome,

@@ -54,18 +54,17 @@ def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scan_logs(spark: SparkSession, files: DataFrame, ts: Column) -> DataFrame:
-    """All lines of all configured files: ``log_group, path, seq, ts, line``. Files are
+    """All lines of all configured files: ``log_group, group_idx, path, seq, ts, line``. Files are
     ordered by group, then by place in the group. ``ts`` is the activity time to give
     the lines (epoch seconds): reading time, or parsed from ``line``."""
     there = existing_files(spark, files).select("log_group", "group_idx", "file_idx", "path")
     paths = paths_of(there)
-    if not paths:
-        return spark.createDataFrame(
-            [], "log_group string, path string, ts bigint, line string"
-        ).withColumn("seq", F.lit(0).cast("bigint"))
+    found = text_lines(spark, paths) if paths else spark.createDataFrame(
+        [], "path string, seq struct<split: bigint, row: bigint>, line string"
+    )
     order = F.struct("group_idx", "file_idx", F.col("seq.split").alias("split"), F.col("seq.row").alias("row"))
-    return text_lines(spark, paths).join(there, "path").select(
-        "log_group", "path", order.alias("seq"), ts.alias("ts"), "line"
+    return found.join(there, "path").select(
+        "log_group", "group_idx", "path", order.alias("seq"), ts.alias("ts"), "line"
     )
 
 

@@ -181,5 +181,5 @@ def tail_stream(spark: SparkSession, files: DataFrame, bookmarks: DataFrame, ts:
 def with_group(raw: DataFrame, files: DataFrame, ts: Column) -> DataFrame:
     order = F.struct("group_idx", "file_idx", F.shiftright("byte_offset", 27).alias("range"), "byte_offset")
     return raw.join(files, "path").select(
-        "log_group", "path", "byte_offset", "end_offset", order.alias("seq"), ts.alias("ts"), "line"
+        "log_group", "group_idx", "path", "byte_offset", "end_offset", order.alias("seq"), ts.alias("ts"), "line"
     )

@@ -1,48 +1,145 @@
-"""The monitor (T1-T8): checks new lines batch by batch.
+"""The monitor (T1-T8): checks new lines batch by batch, and what is due without lines.
 
 `foreachBatch` runs the same operators as a batch job against the state the batches
 before have left. A batch may run twice; it reads the versions below its own and
-overwrites its own outputs, so nothing is counted twice.
+overwrites its own outputs, so nothing is counted twice. `tick` does what time brings
+about when the log is quiet: blocks run out, the feed is due, the rule template has
+changed. The two take turns.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logwarden import schemas
-from logwarden.operators.firewall import migrate_rule_template
-from logwarden.plans.log_check import Config, check_lines
+from logwarden.operators import firewall
+from logwarden.operators.feed import save_feed_meta, sync_due, sync_failed
+from logwarden.plans.log_check import Config, check_lines, sync_feed
+from logwarden.schemas import STATE_COLUMNS
 from logwarden.settings import Settings
 from logwarden.sources.sinks import write_report_outbox
-from logwarden.stage import written
+from logwarden.sources.snapshot import current_version, load_table, write_state
+from logwarden.stage import owner, written
 from logwarden.streaming.store import state_before, write_changes
 
+TICKS = 1_000_000  # versions between two batches
+LINES = "log_group string, seq bigint, ts bigint, line string"
+
 
 @dataclass(frozen=True)
 class Monitor:
-    """``config`` is asked before every batch, so changed rules apply from the next one
-    on; ``feed`` gives the feed table; ``clock`` the time of a decision (by default the
-    latest time in the batch)."""
+    """``config`` is asked before every step, so changed rules apply from the next one on;
+    ``feed`` gives the feed table, or ``fetch`` gets a new one when the settings' interval
+    is over; ``listing`` is what the firewall itself lists; ``clock`` gives the time of a
+    batch's decisions (by default the latest time in the batch)."""
 
     folder: str
     config: Callable[[SparkSession], Config]
     feed: Callable[[SparkSession], DataFrame] | None = None
     clock: Callable[[], int] | None = None
+    fetch: Callable[[SparkSession], DataFrame] | None = None
+    listing: Callable[[SparkSession], DataFrame] | None = None
+    turn: threading.Lock = field(default_factory=threading.Lock, repr=False, compare=False)
 
     def check(self, lines: DataFrame, batch: int) -> None:
         """One batch: state changes, reports and firewall commands are written down."""
-        spark = lines.sparkSession
         as_of = self.clock() if self.clock else None
-        before = state_before(spark, f"{self.folder}/state", batch)
-        feed = self.feed(spark) if self.feed else spark.createDataFrame([], schemas.FEED)
-        result = check_lines(lines, before, feed, self.config(spark), as_of)
-        write_report_outbox(result.reports, f"{self.folder}/outbox", batch)
-        result.plan.write.mode("overwrite").parquet(f"{self.folder}/plan/batch={batch}")
-        write_changes(spark, f"{self.folder}/state", batch, before, written(result.changes))
+        with self.turn, owner():
+            self._check(lines, (batch + 1) * TICKS, as_of)
+
+    def tick(self, spark: SparkSession, as_of: int) -> None:
+        """What is due at ``as_of`` whether or not there are new lines."""
+        with self.turn, owner():
+            self._migrate_template(spark)
+            if self.fetch:
+                self._sync(spark, as_of)
+            self._check(spark.createDataFrame([], LINES), self._next(spark), as_of)
+
+    def reconcile(self, spark: SparkSession, as_of: int) -> None:
+        """At the start: the firewall's own listing decides which addresses have a rule;
+        missing rules are added, those no longer due are removed."""
+        with self.turn, owner():
+            settings, before = self.config(spark).settings, self.state(spark)
+            parsed = firewall.parse_rules(self.listing(spark), settings.rule_template)
+            unmarked = before.withColumn("has_rule", F.lit(False))
+            fed = self._feed(spark).withColumn("has_rule", F.lit(False))
+            planned = written(firewall.firewall_plan(unmarked, fed, parsed, settings, as_of))
+            after = firewall.apply_plan(unmarked, planned).select(*STATE_COLUMNS)
+            self._write(spark, self._next(spark), before, after, planned.filter("action in ('ADD', 'REMOVE')"))
+
+    def _next(self, spark: SparkSession) -> int:
+        return (current_version(spark, f"{self.folder}/state") or 0) + 1
+
+    def _check(self, lines: DataFrame, version: int, as_of: int | None) -> None:
+        spark = lines.sparkSession
+        before = state_before(spark, f"{self.folder}/state", version)
+        result = check_lines(lines, before, self._feed(spark), self.config(spark), as_of)
+        write_report_outbox(result.reports, f"{self.folder}/outbox", version)
+        self._write(spark, version, before, result.changes, result.plan)
+
+    def _write(self, spark: SparkSession, version: int, before: DataFrame, changes: DataFrame, plan: DataFrame) -> None:
+        plan.select("ip", "ip_version", "action", "command").write.mode("overwrite").parquet(f"{self.folder}/plan/batch={version}")
+        write_changes(spark, f"{self.folder}/state", version, before, written(changes))
+
+    def _feed(self, spark: SparkSession) -> DataFrame:
+        if self.feed:
+            return self.feed(spark)
+        last = current_version(spark, f"{self.folder}/feed")
+        if last is None:
+            return spark.createDataFrame([], schemas.FEED)
+        return load_table(spark, f"{self.folder}/feed", last, "feed")
+
+    def _sync(self, spark: SparkSession, as_of: int) -> None:
+        """Fetch the feed when it is due; after a failure again a little later."""
+        folder, settings = f"{self.folder}/feed", self.config(spark).settings
+        last = current_version(spark, folder)
+        meta = save_feed_meta(spark, 0, 0) if last is None else load_table(spark, folder, last, "feed_meta")
+        if not meta.select(sync_due(settings.feed_interval, as_of)).first()[0]:
+            return
+        old, version = self._feed(spark), (last or 0) + 1
+        try:
+            new = written(self.fetch(spark))
+        except Exception as error:  # noqa: BLE001 - whatever the service does, checking goes on
+            print(f"feed not fetched: {error}")
+            late = sync_failed(meta) if last is not None else save_feed_meta(spark, as_of - settings.feed_interval + 300, 0)
+            write_state(folder, version, feed=written(old), feed_meta=written(late))
+            return
+        before = self.state(spark)
+        after, plan, _ = sync_feed(old, new, before, settings, as_of)
+        write_state(folder, version, feed=written(after), feed_meta=save_feed_meta(spark, as_of, as_of))
+        flips = plan.select("ip", (F.col("action") == "ADD").alias("rule_after"))
+        changes = before.join(flips, "ip").withColumn("has_rule", F.col("rule_after")).select(*STATE_COLUMNS)
+        self._write(spark, self._next(spark), before, changes, plan)
+
+    def _migrate_template(self, spark: SparkSession) -> None:
+        """Commands that replace every rule of the template used so far."""
+        folder, new = f"{self.folder}/template", self.config(spark).settings
+        last = current_version(spark, folder)
+        if last is not None:
+            used = load_table(spark, folder, last, "template").first()
+            old = replace(new, rule_template=used["rule_template"], append_rules=used["append_rules"])
+            before = self.state(spark)
+            commands = template_change(self._listed(spark, before, old), old, new)
+            if commands is None:
+                return
+            self._write(spark, self._next(spark), before, before.limit(0), commands)
+        row = spark.createDataFrame([(new.rule_template, new.append_rules)], "rule_template string, append_rules boolean")
+        write_state(folder, (last or 0) + 1, template=row)
+
+    def _listed(self, spark: SparkSession, state: DataFrame, settings: Settings) -> DataFrame:
+        """The firewall's listing, or as it should be after the commands given so far."""
+        if self.listing:
+            return self.listing(spark)
+        head, tail = firewall.template_parts(settings.rule_template)
+        line = F.concat(F.lit(f"-A {firewall.CHAIN} {head}"), "ip", F.lit(tail))
+        ruled = state.filter("has_rule").select("ip", "ip_version").union(self._feed(spark).filter("has_rule").select("ip", "ip_version"))
+        return ruled.distinct().select("ip_version", line.alias("line"))
 
     def start(self, lines: DataFrame, every: str | None = None) -> StreamingQuery:
         """Follow a stream of lines, every so many seconds, or until nothing is left."""
@@ -66,4 +163,4 @@ class Monitor:
 
 def template_change(listing: DataFrame, old: Settings, new: Settings) -> DataFrame | None:
     """Commands for a changed rule template, None when it is the same."""
-    return None if old.rule_template == new.rule_template else migrate_rule_template(listing, old, new)
+    return None if old.rule_template == new.rule_template else firewall.migrate_rule_template(listing, old, new)

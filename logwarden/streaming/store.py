@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logwarden import schemas
 from logwarden.schemas import STATE_COLUMNS
 from logwarden.sources.snapshot import current_version, versions, write_state
+from logwarden.stage import remove_folder
 
 FULL_EVERY = 20
 
@@ -44,9 +45,19 @@ def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_changes(spark: SparkSession, folder: str, version: int, before: DataFrame, changes: DataFrame) -> None:
-    """Write what a batch changed, or the whole state when it is time for that."""
-    if version % FULL_EVERY == FULL_EVERY - 1:
-        kept = before.join(changes.select("ip"), "ip", "left_anti").select(*STATE_COLUMNS)
-        write_state(folder, version, state=kept.unionByName(changes))
-    else:
+    """Write what a batch changed, or the whole state when there are ``FULL_EVERY`` versions
+    since it was last written whole. Then versions before the last but one whole state go:
+    only the newest batch can run again, and it reads nothing older."""
+    done = []
+    if current_version(spark, folder, version) is not None:
+        done = sorted((r["version"], "state" in r["tables"]) for r in versions(spark, folder).filter(F.col("version") < version).collect())
+    whole = [v for v, full in done if full]
+    since = [v for v, _ in done if not whole or v > whole[-1]]
+    if len(since) + 1 < FULL_EVERY:
         write_state(folder, version, changes=changes)
+        return
+    kept = before.join(changes.select("ip"), "ip", "left_anti").select(*STATE_COLUMNS)
+    write_state(folder, version, state=kept.unionByName(changes))
+    for old in (v for v, _ in done if whole and v < whole[-1]):
+        remove_folder(spark, f"{folder}/complete/version_{old}")
+        remove_folder(spark, f"{folder}/version={old}")

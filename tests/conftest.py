@@ -4,8 +4,10 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("checkpoints"))
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", shared)
         .appName("logwarden-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
@@ -16,8 +18,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    session.sparkContext.setCheckpointDir(shared)
     yield session
     session.stop()
 
