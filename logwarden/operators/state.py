@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.net import ip_version
 from logwarden.operators.score import final_score, per_second
+from logwarden.operators.skew import salted_join
 from logwarden.schemas import STATE, STATE_COLUMNS
 from logwarden.stage import written
 
@@ -43,8 +44,12 @@ def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int, feed: DataF
     steps = written(per_second(hits, multiplier))
     before = state.join(steps.select("ip").distinct(), "ip", "left_semi")
     known_since = before.select("ip", F.col("last_activity").alias("known_at"))
-    in_time = steps.join(known_since, "ip", "left").select(
-        "ip", F.greatest("ts", F.coalesce("known_at", "ts")).alias("ts"), "added", "activity", "refused"
+    # A busy address is looked up in pieces, and what falls on one second is one row again.
+    counts = steps.groupBy("ip").agg(F.count("*").alias("n"))
+    late = F.greatest("ts", F.coalesce("known_at", "ts"))
+    in_time = (
+        salted_join(steps, known_since, "ip", counts).withColumn("ts", late)
+        .groupBy("ip", "ts").agg(*[F.sum(c).alias(c) for c in ("added", "activity", "refused")])
     )
     seed = before.select(
         "ip",
@@ -113,10 +118,10 @@ def _toggle(state: DataFrame, commands: DataFrame, as_of: int, flag: str, other:
     # So two counts per address settle the result, however many commands there are.
     first_ok = commands.filter("confirmed").groupBy("ip").agg(F.min("seq").alias("moved_at"))
     on_other = state.filter(F.col(other)).select("ip").withColumn("on_other", F.lit(True))
+    each = commands.groupBy("ip", "seq").agg(F.count("*").alias("n"))
+    counts = commands.groupBy("ip").agg(F.count("*").alias("n"))
     counted = (
-        commands.groupBy("ip", "seq")
-        .agg(F.count("*").alias("n"))
-        .join(first_ok, "ip", "left")
+        salted_join(each, first_ok, "ip", counts)
         .groupBy("ip")
         .agg(
             F.sum("n").alias("flips"),

@@ -612,7 +612,7 @@ def settings_load(spark, sf_dir):
 
 
 def _toggle_input(spark, sf_dir):
-    commands = table(spark, sf_dir, "events").filter("event_type = 'view'").select(
+    commands = table(spark, sf_dir, "events").select(
         demo.clean_ip(F.col("user_id")).alias("ip"), (F.col("event_id") % 3 == 0).alias("confirmed"),
         F.col("event_id").alias("seq"),
     )

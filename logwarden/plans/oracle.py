@@ -260,7 +260,7 @@ CONFIG = """sup AS (
 def toggle_sql(flag: str, other: str) -> str:
     """Commands one after another, by recursion over their order."""
     return f"""WITH RECURSIVE {EV}, {KEPT}, cmds AS MATERIALIZED (
-    SELECT ip, seq % 3 = 0 AS ok, row_number() OVER (PARTITION BY ip ORDER BY seq) AS rn FROM ev WHERE event_type = 'view'),
+    SELECT ip, seq % 3 = 0 AS ok, row_number() OVER (PARTITION BY ip ORDER BY seq) AS rn FROM ev),
   everyone AS (
     SELECT ip, last_activity, {flag} AS f, {other} AS o FROM kept
     UNION ALL SELECT DISTINCT ip, CAST({AS_OF} AS BIGINT), false, false FROM cmds WHERE ip NOT IN (SELECT ip FROM kept)),
