@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from functools import lru_cache
 
@@ -11,12 +12,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from logwarden.llm import arrow, segment
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHED_PIECES = 1 << 19
+CACHED_PIECES = 1 << 17
 LONG_PIECE = 256  # longer ones are merged one by one and not kept
 NONE = 1 << 40
 
@@ -31,6 +32,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.labels = [b"%d" % k for k in range(len(self.tokens))]
         self.widths = np.array([len(t) for t in self.tokens], np.int32)
         self.merged: dict[bytes, bytes] = {}
 
@@ -46,7 +48,7 @@ class Vocabulary:
                     pairs[a << 32 | b] = rank
         keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
         values = np.fromiter(pairs.values(), np.int64, len(pairs))
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, NONE)
         place, left = self._place(keys), np.arange(len(keys))
         while len(left):
@@ -207,6 +209,22 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     )
 
 
+def decode_rows(ids: pa.Array, ends: pa.Array | None, path: str) -> list[bytes | None]:
+    """Bytes of each list of ids. Where ``ends`` is given, every token has to end where it
+    says, else this fails."""
+    words, out = vocabulary(path), []
+    for k, row in enumerate(ids):
+        if not row.is_valid:
+            out.append(None)
+            continue
+        numbers = row.values.to_numpy(zero_copy_only=False)
+        if ends is not None and ends[k].is_valid:
+            if not np.array_equal(np.cumsum(words.widths[numbers]), ends[k].values.to_numpy(zero_copy_only=False)):
+                raise ValueError("offsets do not fit the ids")
+        out.append(b"".join(map(words.tokens.__getitem__, numbers.tolist())))
+    return out
+
+
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``encoded`` and ``decoded binary``, the bytes of its ``ids``. Where ``ends`` is
     there, every token has to end where it says, else the task fails. Null ids give null."""
@@ -215,31 +233,29 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     offsets = encoded.columns.index("ends") if "ends" in encoded.columns else None
 
     def run(batches):
-        words = vocabulary(path)
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
-                out = []
-                for k, ids in enumerate(part.column(place)):
-                    if not ids.is_valid:
-                        out.append(None)
-                        continue
-                    numbers = ids.values.to_numpy(zero_copy_only=False)
-                    if offsets is not None and part.column(offsets)[k].is_valid:
-                        ends = part.column(offsets)[k].values.to_numpy(zero_copy_only=False)
-                        if not np.array_equal(np.cumsum(words.widths[numbers]), ends):
-                            raise ValueError("offsets do not fit the ids")
-                    out.append(b"".join(map(words.tokens.__getitem__, numbers.tolist())))
+                out = decode_rows(part.column(place), None if offsets is None else part.column(offsets), path)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[f.name for f in fields] + ["decoded"])
 
     return encoded.mapInArrow(run, StructType([*fields, StructField("decoded", BinaryType())]))
 
 
+def digest_rows(column: pa.Array, path: str) -> list[pa.Array]:
+    """Encode, decode again, and digest both while the ids are at hand."""
+    ids, ends = encode_rows(column, path)
+    labels = vocabulary(path).labels
+    numbers, cut = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
+    shown = (b" ".join(map(labels.__getitem__, numbers[a:b])) for a, b in zip(cut, cut[1:]))
+    return [
+        pa.array(ids.value_lengths().cast(pa.int64())), pa.array([hashlib.sha256(x).hexdigest() for x in shown], pa.string()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in decode_rows(ids, ends, path)], pa.string()),
+    ]
+
+
 def round_trip_digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Digests of ids and of decoded bytes, by document."""
-    done = decode(encode(docs, path=path), path)
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """``doc_id``, ``n_tokens`` and digests of the ids and of the decoded bytes. A text's ids
+    stay in the task that made them."""
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return arrow.map_texts(docs, [F.col("doc_id")], F.col("text"), fields, lambda column: digest_rows(column, path))

@@ -139,7 +139,7 @@ def gathered(sample: DataFrame, grams, bits: int, rows: int) -> tuple[np.ndarray
                 out.append(b"b" + np.packbits(full).tobytes())
         return [pa.array(out, pa.binary())]
 
-    found = arrow.map_texts(sample, [F.col("doc_id"), F.col("label")], F.col("text"), [StructField("slots", BinaryType())], work, 1 << 19)
+    found = arrow.map_texts(sample, [F.col("doc_id"), F.col("label")], F.col("text"), [StructField("slots", BinaryType())], work)
     once = found.groupBy("doc_id").agg(F.min(F.struct("slots", "label")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id")
     got = once.select("r.slots", "r.label").limit(rows).toPandas()
     parts = [

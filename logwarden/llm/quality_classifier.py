@@ -124,11 +124,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     a row without an id is not held out."""
     found = arrow.map_texts(
         docs, [F.col("doc_id")], F.col("text"), [StructField("score", DoubleType())],
-        lambda column: [pa.array(score_rows(column, model))], 1 << 19,
+        lambda column: [pa.array(score_rows(column, model))],
     )
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
 def passing(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps."""
-    return arrow.keep_rows(docs, "text", lambda column: score_rows(column, model) >= KEEP_FROM, 1 << 19)
+    return arrow.keep_rows(docs, "text", lambda column: score_rows(column, model) >= KEEP_FROM)
