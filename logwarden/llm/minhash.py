@@ -28,7 +28,7 @@ SHINGLE = 5
 THRESHOLD = 80  # per cent
 ROWS, BANDS = 4, 32  # a pair at the threshold shares no band with a chance of 5e-8
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 2_000_000  # of one side of a comparison
-SMALL_LIST = 2_000_000  # ids; a longer list of candidates is joined by a shuffle
+SMALL_LIST = 250_000  # ids, about 40 MB; a longer list of candidates is joined by a shuffle
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x09:0x0E] = SPACE

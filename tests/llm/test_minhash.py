@@ -48,8 +48,10 @@ def variants(pick, base, n, edits):
 
 @pytest.mark.parametrize("block", [1000, 4])
 def test_components_against_brute_force(documents, monkeypatch, block):
-    """With small blocks every large group is compared block against block."""
+    """With small blocks every large group is compared block against block; then the list
+    of candidates is also joined by a shuffle."""
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    monkeypatch.setattr(minhash, "SMALL_LIST", 0 if block == 4 else 1000)
     pick = random.Random(8)
     texts = []
     for _ in range(6):
