@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from logwarden.functions.net import IP_PATTERN, PORT_PATTERN, STRICT_V4
-from logwarden.operators.report import CATEGORY_NAMES
+from logwarden.functions.net import IP_PATTERN, PORT_PATTERN
 from logwarden.plans.demo import AS_OF, GAP_START, GROUPS
 from logwarden.rulesets import GROUPS as RULE_GROUPS
 
@@ -236,7 +235,12 @@ def url_sql(text: str) -> str:
     return f"url_encode({text})"
 
 
-CATEGORY_VALUES = ", ".join(f"({code}, '{name}')" for code, name in CATEGORY_NAMES.items())
+# Fixed values, written out here a second time so that a slip on either side shows.
+CATEGORY_VALUES = """(3, 'FraudOrders'), (4, 'DDoSAttach'), (5, 'FTPBruteForce'), (6, 'PingOfDeath'), (7, 'Phishing'),
+    (8, 'FraudVoIP'), (9, 'OpenProxy'), (10, 'WebSpam'), (11, 'EmailSpam'), (12, 'BlogSpam'), (13, 'VPNIP'), (14, 'PortScan'),
+    (15, 'Hacking'), (16, 'SQLInjection'), (17, 'Spoofing'), (18, 'BruteForce'), (19, 'BadWebBot'), (20, 'ExploitedHost'),
+    (21, 'WebAppAttack'), (22, 'SSH'), (23, 'IoTTargeted')"""
+STRICT_V4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 
 STATE_LINES = f"""lines AS (
   SELECT 'd' AS kind, event_id AS seq, {ip_sql('user_id', True)} AS ip, event_id * 100 AS last_activity, event_id % 77 AS score,
