@@ -28,7 +28,7 @@ ADDRESS_FIELDS = {
     "last_reported": (93, 20),
     "ip_version": (113, 1),
 }
-BOOKMARK_FIELDS = {"bookmark": (2, 20), "size": (22, 20), "path": (42, 1 << 20)}
+BOOKMARK_FIELDS = {"bookmark": (2, 20), "size": (22, 20), "path": (42, (1 << 31) - 1)}  # the path is the rest of the line
 FEED_FIELDS = {"ip": (2, 39), "total_reports": (41, 10), "confidence": (51, 3), "ip_version": (54, 1)}
 META_FIELDS = {"sync_time": (2, 20), "gen_time": (22, 20)}
 
