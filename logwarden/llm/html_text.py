@@ -1,7 +1,7 @@
 """Main text of web pages by host consensus.
 
-Every page scores its containers by the running text they hold and votes for the best one's
-path: tags and classes from the root, numbers left out. Votes are counted per host, and each
+Every page scores its containers by the running text they hold, widens the best one until
+it holds the running text around it, and votes for its path: tags and classes from the root, numbers left out. Votes are counted per host, and each
 page is read again along the paths that won on its host, so a page whose own best container
 is a long comment or advert still yields what its siblings call the article.
 """
@@ -22,6 +22,7 @@ from logwarden.llm import arrow
 from logwarden.operators.skew import salted_join
 
 LEVELS = 12  # elements that a path names, from the container upwards
+RUNNING = 20.0  # worth from which text counts as running: one line of 40 characters
 SHARE = 0.1  # of a host's votes that a further path needs to be used as well
 SMALL_LIST = 100_000  # hosts; a longer list is joined by a shuffle
 
@@ -161,6 +162,12 @@ def container(elements: list[Element], at: int) -> int:
     return at
 
 
+def around(elements: list[Element], outer: int, at: int) -> bool:
+    while at > outer:
+        at = elements[at].parent
+    return at == outer
+
+
 def path_of(elements: list[Element], at: int) -> str:
     names = []
     while at and len(names) < LEVELS:
@@ -169,29 +176,62 @@ def path_of(elements: list[Element], at: int) -> str:
     return ">".join(reversed(names))
 
 
+def worth(elements: list[Element], block: Block) -> float:
+    """How much a block counts as running text: its length less what is linked; short ones
+    hardly count."""
+    owner = elements[block.owner]
+    if owner.outside or owner.tag == "li":
+        return 0.0
+    return max(0.0, (len(block.text) - 2 * block.linked) * min(1.0, len(block.text) / 80))
+
+
 def best_container(elements: list[Element], blocks: list[Block]) -> int | None:
     """The container with most running text: a block counts whole for its own container and
-    half for the one around that, less what is linked; short ones hardly count."""
+    half for the one around that."""
     score: Counter = Counter()
     for block in blocks:
-        if elements[block.owner].outside or elements[block.owner].tag == "li":
-            continue
-        worth = (len(block.text) - 2 * block.linked) * min(1.0, len(block.text) / 80)
-        if worth <= 0:
+        value = worth(elements, block)
+        if value <= 0:
             continue
         own = container(elements, block.owner)
-        score[own] += worth
+        score[own] += value
         if own:
-            score[container(elements, elements[own].parent)] += worth / 2
+            score[container(elements, elements[own].parent)] += value / 2
     if not score:
         return None
     return max(score, key=lambda k: (score[k], -k))
 
 
+def whole(elements: list[Element], blocks: list[Block], at: int | None) -> int | None:
+    """The widest container around ``at`` that holds running text which narrower ones do not:
+    an article may be split over sections of any names and depth. An article element
+    belongs to its text even if only its title is added."""
+    if not at:
+        return at
+    sums = [0.0] * len(elements)
+    header = [False] * len(elements)
+    for k, element in enumerate(elements):
+        header[k] = element.tag == "header" or k > 0 and header[element.parent]
+    for block in blocks:
+        if not header[block.owner]:
+            sums[block.owner] += worth(elements, block)
+    for k in range(len(elements) - 1, 0, -1):
+        sums[elements[k].parent] += sums[k]
+    best = at
+    while at:
+        at = container(elements, elements[at].parent)
+        if sums[at] - sums[best] >= RUNNING or elements[at].tag == "article":
+            best = at
+    return best
+
+
 def article(elements: list[Element], blocks: list[Block], paths: list[str] | None) -> str:
-    """Text of the containers on the first of ``paths`` that the page has, else of its own
-    best one. Headings of a header inside the article stay, its other lines do not."""
+    """Text of the containers on the first of ``paths`` that the page has, or of the page's
+    own whole container if that lies around those and is on another of ``paths``; without
+    any of these of its own one. Headings of a header inside the article stay, its other
+    lines do not."""
     chosen: set[int] = set()
+    own = whole(elements, blocks, best_container(elements, blocks))
     if paths:
         places: dict[str, set[int]] = {}
         wanted = {p.rpartition(">")[2] for p in paths}
@@ -199,11 +239,12 @@ def article(elements: list[Element], blocks: list[Block], paths: list[str] | Non
             if element.names in wanted and element.tag in _CONTAINERS and not element.outside:
                 places.setdefault(path_of(elements, k), set()).add(k)
         chosen = next((places[p] for p in paths if p in places), set())
+        if own is not None and path_of(elements, own) in paths and any(around(elements, own, k) for k in chosen):
+            chosen = chosen | {own}
     if not chosen:
-        best = best_container(elements, blocks)
-        if best is None:
+        if own is None:
             return ""
-        chosen = {best}
+        chosen = {own}
     within = [False] * len(elements)
     header = [False] * len(elements)
     for k, element in enumerate(elements):
@@ -231,8 +272,8 @@ def votes(pages: DataFrame) -> DataFrame:
             count: Counter = Counter()
             for url, html in zip(batch.column(0), batch.column(1)):
                 elements, blocks = read_page(html.as_py() or "")
-                best = best_container(elements, blocks)
-                if best:
+                best = whole(elements, blocks, best_container(elements, blocks))
+                if best is not None:
                     count[host_of(url.as_py()), path_of(elements, best)] += 1
             keys = list(count)
             yield pa.RecordBatch.from_arrays(

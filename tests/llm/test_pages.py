@@ -36,6 +36,31 @@ def test_host_decides_where_a_page_misleads(spark):
     assert got[12] == "Brief." and got[13] == f"{LONG} {LONG}" and got[0] == LONG
 
 
+def test_articles_split_over_sections_stay_whole(spark):
+    more = "Other words that tell the rest of it, and that are many enough to make this part the longest one of the page. " * 3
+    more = more.strip()
+    bodies = [
+        f"<article><h1>T</h1><div class=intro><p>{LONG}</p></div><div class=body><p>{more}</p></div></article>",
+        f"<div id=a><article><h1>T</h1><p>{LONG}</p><section class=x><div class=y><div class=z><p>{more}</p></div></div></section></article></div>",
+        f"<div id=w><h1>T</h1><div class=intro><p>{LONG}</p></div><div class=body><p>{more}</p></div></div>",
+        f"<h1>T</h1><div class=intro><p>{LONG}</p></div><div class=body><p>{more}</p></div>",
+        f"<main><h1>T</h1><section class=one><p>{LONG}</p></section><section class=two><div><p>{more}</p></div></section></main>",
+    ]
+    rows = [(f"http://h{k}.org/{n}", page(body)) for k, body in enumerate(bodies) for n in range(3)]
+    titled = f"<article><h1>T</h1><div class=body><p>{more}</p></div></article><div class=box><p>short</p></div>"
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, [*rows, ("http://t.org/", page(titled))])).collect()}
+    assert all(got[k] == f"T\n\n{LONG}\n\n{more}" for k in range(len(rows)))
+    assert got[len(rows)] == f"T\n\n{more}"
+
+
+def test_split_pages_stay_whole_among_others_of_their_host(spark):
+    plain = page(f"<div class=body><p>{LONG} {LONG}</p></div><div class=box>x</div>")
+    split = page(f"<div class=intro><p>{LONG}</p></div><div class=body><p>{LONG} {LONG}</p></div>")
+    rows = [("http://one.org/", plain)] * 6 + [("http://one.org/", split)] * 4
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[k] == (f"{LONG} {LONG}" if k < 6 else f"{LONG}\n\n{LONG} {LONG}") for k in range(10))
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_odd_pages(spark, monkeypatch, limit):
     monkeypatch.setattr(html_text, "SMALL_LIST", limit)
