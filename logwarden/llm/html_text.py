@@ -22,6 +22,7 @@ from logwarden.llm import arrow
 from logwarden.operators.skew import salted_join
 
 LEVELS = 12  # elements that a path names, from the container upwards
+WRAPPER = 0.75  # share of a page's running text that makes a form or a class named so a wrapper
 RUNNING = 20.0  # worth from which text counts as running: one line of 40 characters
 SHARE = 0.1  # of a host's votes that a further path needs to be used as well
 SMALL_LIST = 100_000  # hosts; a longer list is joined by a shuffle
@@ -42,8 +43,9 @@ _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "body": ({"head"}, {"html"}),
 }
-# Elements, and words of classes and ids, that are no part of an article.
-_OUTSIDE = {"nav", "aside", "footer", "form", "button", "menu", "dialog", "label", "fieldset", "head"}
+# Elements, and words of classes and ids, that are no part of an article. A form, or an
+# element with such a word, that holds most of a page's text is a wrapper all the same.
+_OUTSIDE = {"nav", "aside", "footer", "button", "menu", "dialog", "label", "fieldset", "head"}
 _OUTSIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "menu", "nav",
     "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "topbar", "toolbar", "cookie", "cookies",
@@ -73,6 +75,7 @@ def read_page(html: str) -> tuple[list[Element], list[Block]]:
     """Elements and text blocks in page order. Unclosed and misnested elements are closed
     as browsers do it in the common cases; what cannot be read as a tag is text."""
     elements, blocks = [Element("", "", -1, False)], []
+    doubtful: list[int] = []  # a form, or a class or id with a word that is no part of an article
     stack, inline = [0], []  # open block elements; open inline elements
     parts: list[str] = []
     links, linked, place = 0, 0, 0
@@ -149,11 +152,25 @@ def read_page(html: str) -> tuple[list[Element], list[Block]]:
             words += found
             names += found if key.lower() == "class" else []
         parent = stack[-1]
-        outside = elements[parent].outside or hidden or name in _OUTSIDE or bool(_OUTSIDE_WORDS.intersection(words)) and name not in ("html", "body")
-        elements.append(Element(name, ".".join([name, *names]), parent, outside))
+        if name == "form" or _OUTSIDE_WORDS.intersection(words) and name not in ("html", "body"):
+            doubtful.append(len(elements))
+        elements.append(Element(name, ".".join([name, *names]), parent, elements[parent].outside or hidden or name in _OUTSIDE))
         stack.append(len(elements) - 1)
     flush()
-    return elements, blocks
+    return judged(elements, blocks, doubtful), blocks
+
+
+def judged(elements: list[Element], blocks: list[Block], doubtful: list[int]) -> list[Element]:
+    """``elements`` with the doubtful ones that are no wrappers, and all within them, outside."""
+    if not doubtful:
+        return elements
+    sums = text_sums(elements, blocks)
+    marked = {k for k in doubtful if not sums[k] or sums[k] < WRAPPER * sums[0]}
+    out: list[Element] = []
+    for k, element in enumerate(elements):
+        outside = element.outside or k in marked or k > 0 and out[element.parent].outside
+        out.append(element._replace(outside=outside) if outside and not element.outside else element)
+    return out
 
 
 def container(elements: list[Element], at: int) -> int:
@@ -185,6 +202,20 @@ def worth(elements: list[Element], block: Block) -> float:
     return max(0.0, (len(block.text) - 2 * block.linked) * min(1.0, len(block.text) / 80))
 
 
+def text_sums(elements: list[Element], blocks: list[Block]) -> list[float]:
+    """Of each element the running text in it and below, without that of headers."""
+    sums = [0.0] * len(elements)
+    header = [False] * len(elements)
+    for k, element in enumerate(elements):
+        header[k] = element.tag == "header" or k > 0 and header[element.parent]
+    for block in blocks:
+        if not header[block.owner]:
+            sums[block.owner] += worth(elements, block)
+    for k in range(len(elements) - 1, 0, -1):
+        sums[elements[k].parent] += sums[k]
+    return sums
+
+
 def best_container(elements: list[Element], blocks: list[Block]) -> int | None:
     """The container with most running text: a block counts whole for its own container and
     half for the one around that."""
@@ -208,15 +239,7 @@ def whole(elements: list[Element], blocks: list[Block], at: int | None) -> int |
     belongs to its text even if only its title is added."""
     if not at:
         return at
-    sums = [0.0] * len(elements)
-    header = [False] * len(elements)
-    for k, element in enumerate(elements):
-        header[k] = element.tag == "header" or k > 0 and header[element.parent]
-    for block in blocks:
-        if not header[block.owner]:
-            sums[block.owner] += worth(elements, block)
-    for k in range(len(elements) - 1, 0, -1):
-        sums[elements[k].parent] += sums[k]
+    sums = text_sums(elements, blocks)
     best = at
     while at:
         at = container(elements, elements[at].parent)

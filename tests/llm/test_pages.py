@@ -61,6 +61,17 @@ def test_split_pages_stay_whole_among_others_of_their_host(spark):
     assert all(got[k] == (f"{LONG} {LONG}" if k < 6 else f"{LONG}\n\n{LONG} {LONG}") for k in range(10))
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div class='content with-sidebar'>", "</div>"), ("<div id=page class='has-notice'>", "</div>"), ("<form id=aspnetForm>", "</form>"),
+    ("<form><div class='site-share'><main class='reply-open'>", "</main></div></form>"),
+])
+def test_wrappers_named_like_what_is_outside(spark, start, end):
+    inner = f"""<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><form><p>Name</p></form><div class=related><p>{LONG[:60]}</p></div></article>
+    <div class=sidebar><p>{LONG[:60]}</p></div>"""
+    rows = [("http://a.b/c", page(f"<header><p>{LONG}</p></header>{start}{inner}{end}<footer>{LONG}</footer>"))]
+    assert html_text.extract(pages(spark, rows)).first().text == f"T\n\n{LONG}\n\n{LONG}"
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_odd_pages(spark, monkeypatch, limit):
     monkeypatch.setattr(html_text, "SMALL_LIST", limit)
