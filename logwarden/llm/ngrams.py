@@ -30,7 +30,8 @@ def _slots(codes: np.ndarray, salt: int, bits: int) -> np.ndarray:
 def character_grams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets and sorted distinct slots: of every 4 bytes of the text in lower case,
     of every 4 bytes of its outline (kinds of letters, and marks as they are), and of runs
-    of words that repeat the word before them."""
+    of words that repeat the word before them. Each text is followed by white space of its
+    own, and no gram reaches into the next text."""
     data, ends = arrow.flat(column)
     n, size = len(ends) - 1, 1 << bits
     gap = 4
@@ -38,12 +39,16 @@ def character_grams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray
     inside = np.ones(len(padded), bool)
     inside[(ends[1:, None] + gap * np.arange(n)[:, None] + np.arange(gap)).ravel()] = False
     owner = np.repeat(np.arange(n, dtype=np.int64) * size, np.diff(ends) + gap)[:max(len(padded) - 3, 0)]
+    own = inside.copy()
+    own[ends[1:] + gap * np.arange(n)] = True  # from a text's bytes and the first one behind it
+    own = own[:len(owner)]
+    owner = owner[own]
     found = np.zeros(n * size, bool)
     for salt, table in ((0x51ED, _LOWER), (0xA3C7, _SHAPE)):
         padded[inside] = table[data]
         wide = padded.astype(np.uint32)
         codes = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-        found[owner + _slots(codes, salt, bits)] = True
+        found[owner + _slots(codes[own], salt, bits)] = True
     words = words_of(column, _LOWER)
     if len(words.hashes):
         same = np.r_[False, words.hashes[1:] == words.hashes[:-1]]
@@ -86,9 +91,13 @@ def word_grams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(ends: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Of each row the sum of its slots' weights."""
-    total = np.r_[0.0, np.cumsum(weights[slots])]
-    return total[ends[1:]] - total[ends[:-1]]
+    """Of each row the sum of its slots' weights, added up from nothing: rounding does not
+    depend on the rows before it."""
+    total = np.zeros(len(ends) - 1)
+    filled = np.flatnonzero(np.diff(ends))
+    if len(filled):
+        total[filled] = np.add.reduceat(weights[slots], ends[:-1][filled])
+    return total
 
 
 def families(ends: np.ndarray, slots: np.ndarray) -> np.ndarray:

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from logwarden.llm import quality_classifier, quality_rules
+from logwarden.llm import arrow, ngrams, quality_classifier, quality_rules
 
 
 def brute_counts(text):
@@ -110,3 +111,16 @@ def test_accuracy_on_the_test_table(spark, sf_dir):
     assert np.mean([r.predicted == r.quality for r in got]) >= 0.9
     verdicts = quality_rules.judged(docs, quality_rules.learned(docs, marks)).join(marks, "doc_id").where("not base_failed").collect()
     assert np.mean([r.kept == (r.quality == 1) for r in verdicts]) >= 0.97
+
+
+def test_a_text_scores_the_same_alone_and_among_others():
+    pick = random.Random(3)
+    texts = ["", "a", "abc", " ", "The", "Öl", None, ""] + ["".join(pick.choice("ab T.é$ ") for _ in range(pick.randint(0, 60))) for _ in range(60)]
+    weights = np.random.default_rng(1).standard_normal(1 << quality_classifier.BITS)
+    model = quality_classifier.Model(weights, 0.1, 0.01, 0.0)
+    alone = [quality_classifier.score_rows(arrow.texts(pa.array([t], pa.string())), model)[0] for t in texts]
+    for _ in range(3):
+        order = pick.sample(range(len(texts)), len(texts))
+        among = quality_classifier.score_rows(arrow.texts(pa.array([texts[k] for k in order], pa.string())), model)
+        assert among.tolist() == [alone[k] for k in order]
+    assert len(ngrams.character_grams(arrow.texts(pa.array([""])), quality_classifier.BITS)[1]) == 2  # white space, in both tables
