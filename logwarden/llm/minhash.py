@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -213,17 +213,12 @@ def block_places(members: DataFrame) -> DataFrame:
     ).select("digest", F.struct("root", "at.c", "at.x", "at.d", "at.y").alias("task"), "at.side")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """For every row its id, ``n_shingles`` and ``component_id``, the least id of the rows it
-    is linked with, directly or through others.
-
-    Null, empty and wordless texts have no shingles and are linked with nothing. Rows with
-    equal sets are one class and compared once, so exact copies, repeated rows and ties cost
-    a grouped minimum. Rows without an id take part; a component of only such rows has a null
-    id. No bucket, group or candidate list is cut off.
-    """
+def _components(docs: DataFrame, id: str, text: str, size: int, threshold: int, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``extra``, ``n_shingles``, ``digest``, ``root`` and
+    ``component_id`` of every row. Rows of one component have one root, a digest; it is null
+    for rows that have no shingles."""
     marked = written(arrow.map_texts(
-        docs, [F.col(id).alias("doc_id")], F.col(text),
+        docs, [F.col(id).alias("doc_id"), *extra], F.col(text),
         [StructField("n_shingles", LongType()), StructField("digest", BinaryType()), StructField("bands", ArrayType(LongType()))],
         lambda column: signature_rows(column, size, ROWS, BANDS), 1 << 19,
     ))
@@ -247,17 +242,29 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     joined = components(links)
     whole = joined.join(classes.select(F.col("digest").alias("node"), "first_id"), "node")
     least = whole.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    found = whole.join(least, "root").select(F.col("node").alias("digest"), "least_id")
+    found = whole.join(least, "root").select(F.col("node").alias("digest"), "least_id", "root")
     # Most rows are alone; the table of those that are not stands on its own, so that the
     # join with a class of very many copies can be split.
     lookup = written(
         classes.select("digest", "first_id", "copies").join(found, "digest", "left").where("copies > 1 or least_id is not null")
-        .select("digest", F.coalesce("least_id", "first_id").alias("component_id"), F.lit(True).alias("known"))
+        .select("digest", "root", F.coalesce("least_id", "first_id").alias("component_id"), F.lit(True).alias("known"))
     )
     return marked.drop("bands").join(lookup, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *[c for c in marked.columns if c not in ("digest", "bands")], "digest", F.coalesce("root", "digest").alias("root"),
+        F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """For every row its id, ``n_shingles`` and ``component_id``, the least id of the rows it
+    is linked with, directly or through others.
+
+    Null, empty and wordless texts have no shingles and are linked with nothing. Rows with
+    equal sets are one class and compared once, so exact copies, repeated rows and ties cost
+    a grouped minimum. Rows without an id take part; a component of only such rows has a null
+    id. No bucket, group or candidate list is cut off.
+    """
+    return _components(docs, id, text, size, threshold).select("doc_id", "n_shingles", "component_id")
+
 
 def report(docs: DataFrame) -> DataFrame:
     """Components over 4-word shingles, by document."""
@@ -265,11 +272,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: those with its
-    least id, and of rows that repeat that id one. Rows without an id stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The rows of ``docs``, all columns, that stand for their component: of its rows one with
+    the least id, and of those the one whose text has the least hash; rows without an id come
+    last. So one row of every component stays, whatever ids repeat. Rows without shingles are
+    linked with nothing: they stay, but of such rows with equal id and text one does."""
+    mark = F.xxhash64(F.col("text").cast("string")).alias("\x01mark")
+    found = _components(docs.select("doc_id", "text"), "doc_id", "text", SHINGLE, THRESHOLD, (mark,))
+    least = found.where("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "\x01mark")).alias("r")
+    ).select("r.doc_id", "r.`\x01mark`")
+    bare = found.where("root is null")
+    picked = least.union(bare.where("doc_id is not null").select("doc_id", "\x01mark")).distinct().select(
+        F.col("doc_id").alias("\x01id"), F.col("\x01mark").alias("\x01own")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("\x01id")) & (F.col("\x01mark") == F.col("\x01own"))
+    once = docs.withColumn("\x01mark", mark).join(picked, same, "left_semi").dropDuplicates(["doc_id", "\x01mark"]).drop("\x01mark")
+    wordless = docs.where("doc_id is null and not coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return once.unionByName(wordless).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -76,6 +76,17 @@ def test_odd_rows(documents, odd):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(documents):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    near = " ".join([*b[:-1], "other"])
+    rows = [(1, " ".join(b)), (5, " ".join(a)), (5, near), (None, "no id and alone here"), (None, "no id and alone here"), (None, near),
+            (None, ""), (None, None), (7, ""), (7, "")]
+    want = [(1, " ".join(b)), (5, " ".join(a)), (7, ""), (None, "no id and alone here"), (None, ""), (None, None)]
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.text) for r in minhash.representatives(documents(order)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_signatures_estimate_similarity():
     """Circulant coordinates agree as often as the sets are similar."""
     pick = np.random.default_rng(3)
