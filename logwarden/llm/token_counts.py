@@ -24,7 +24,8 @@ from logwarden.llm import arrow, segment
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 17
+CACHED_LENGTH = 64  # bytes of a word that is kept
 CACHED_PAIRS = 1 << 20
 END = "</w>"
 
@@ -72,7 +73,7 @@ class Counter:
                 self.starts.setdefault(raw[:k], (-1, -1))
         self.starts |= {raw: tuple(numbers) for raw, numbers in whole.items()}
         self.fitting: dict[int, bool] = {}
-        self.words: dict[bytes, int] = {}
+        self.words: dict[bytes, np.ndarray] = {}
 
     def encode(self, raw: bytes, last: bool) -> list[int]:
         """Merge by rank; used once for a pair of tokens."""
@@ -116,35 +117,17 @@ class Counter:
                     closed[b] = count
         return closed[1:]
 
-    def count(self, word: bytes) -> int:
-        """Tokens of the word: of all its prefixes only the last is asked for."""
-        n, starts, fitting, fits = len(word), self.starts, self.fitting, self.fits
-        last, inner = [-1] * (n + 1), [0] * (n + 1)
-        for a in range(n):
-            before, count = last[a], inner[a] + 1
-            if a and before < 0:
-                continue
-            for b in range(a + 1, n + 1):
-                found = starts.get(word[a:b])
-                if found is None:
-                    break
-                token = found[b == n]
-                if token >= 0 and last[b] < 0:
-                    known = fitting.get(before << 32 | token) if a else True
-                    if known or known is None and fits(before, token):
-                        last[b], inner[b] = token, count
-        return inner[n]
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.words.get, words))
-        new = {word for word, count in zip(words, found) if count is None}
-        if new:
-            if len(self.words) + len(new) > CACHED_WORDS:
-                self.words.clear()
-            fresh = {word: self.count(word) for word in new}
-            self.words |= fresh
-            found = [fresh[word] if count is None else count for word, count in zip(words, found)]
-        return np.array(found, np.int64)
+    def inner(self, word: bytes) -> np.ndarray:
+        """Counts of the word's prefixes that end where a character ends."""
+        known = self.words.get(word)
+        if known is None:
+            counts = self.prefixes(word)
+            known = np.array([c for k, c in enumerate(counts, 1) if k == len(word) or word[k] & 0xC0 != 0x80], np.int32)
+            if len(word) <= CACHED_LENGTH:
+                if len(self.words) >= CACHED_WORDS:
+                    self.words.clear()
+                self.words[word] = known
+        return known
 
 
 @lru_cache(maxsize=2)
@@ -197,22 +180,11 @@ def segments(text: str, words: Counter) -> list[str]:
 
 
 def count_rows(column: pa.Array, path: str) -> list[pa.Array]:
-    words = counter(path)
-    parts, owner = [], []
-    raw = column.to_pylist()
-    totals = np.zeros(len(raw), np.int64)
-    for row, text in enumerate(raw):
-        for part in segments(text, words):
-            if part is None:
-                totals[row] += 1
-            else:
-                parts.append(normalized(part, words))
-                owner.append(row)
-    found, first, _ = word_slices(parts)
-    sums = np.r_[0, np.cumsum(words.counts(found))]
-    np.add.at(totals, np.array(owner, np.int64), np.diff(sums[first]))
+    """Bytes and tokens of each text: the last of the counts of its prefixes."""
     _, ends = arrow.flat(column)
-    return [pa.array(np.diff(ends)), pa.array(totals)]
+    _, counts = prefix_rows(column, path)
+    last = counts.offsets.to_numpy()[1:] - 1  # a text has a count at place 0 at least
+    return [pa.array(np.diff(ends)), pa.array(counts.values.to_numpy()[last].astype(np.int64))]
 
 
 def token_counts(
@@ -243,12 +215,14 @@ def prefix_rows(column: pa.Array, path: str) -> list[pa.Array]:
             found, _, stops = word_slices([clean])
             total = before
             for word, stop in zip(found, stops.tolist()):
-                inner = [c for k, c in enumerate(words.prefixes(word), 1) if k == len(word) or word[k] & 0xC0 != 0x80]
-                here[stop - len(inner):stop] = [total + c for c in inner]
-                total += inner[-1]
+                inner = words.inner(word)
+                here[stop - len(inner):stop] = inner
+                here[stop - len(inner):stop] += total
+                total += int(inner[-1])
             carried = np.maximum.accumulate(np.where(here < 0, 0, np.arange(1, len(here) + 1)))
             here = np.where(carried > 0, here[carried - 1], before) if len(here) else here
-            counts.append(here)
+            if len(here):
+                counts.append(here)
             before = total
         out.append(np.concatenate(counts).astype(np.int32))
         shown.append("".join(pieces))

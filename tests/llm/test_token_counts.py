@@ -51,3 +51,12 @@ def test_whole_table_against_library(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for row in token_counts.token_counts(docs, keep=("doc_id", "text")).collect():
         assert row.n_tokens == counted(library, row.text)
+
+
+def test_totals_come_from_the_counts_of_prefixes(monkeypatch):
+    texts = arrow.texts(pa.array(["one two", "", None, "<|endoftext|>", "a <|endoftext|> b", "é日本"]))
+    asked = []
+    whole = token_counts.prefix_rows
+    monkeypatch.setattr(token_counts, "prefix_rows", lambda column, path: asked.append(whole(column, path)) or asked[-1])
+    _, totals = token_counts.count_rows(texts, token_counts.VOCABULARY)
+    assert totals.to_pylist() == [c[-1] for c in asked[0][1].to_pylist()]
