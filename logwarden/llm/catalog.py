@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bpe, decontaminate, html_text, license_scan, minhash, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from logwarden.llm import (
+    align, backtrack, bpe, decontaminate, html_text, license_scan, minhash, quality_classifier, quality_rules, token_counts,
+    toxicity, url_filter, vector_codes,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_license_scan": op2_license_scan,
@@ -65,9 +80,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_token_counts": op10_token_counts,
+    "op11_backtrack_bpe": op11_backtrack_bpe,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op7_near_duplicates": minhash.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

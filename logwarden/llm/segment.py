@@ -10,6 +10,7 @@ steps, and a second pass gives the state before every code point.
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -160,3 +161,14 @@ def code_points(data: np.ndarray) -> np.ndarray:
 def width(points: np.ndarray) -> np.ndarray:
     """Bytes of each code point in UTF-8."""
     return (1 + (points >= 0x80).view(np.int8) + (points >= 0x800) + (points >= 0x10000)).astype(np.int8)
+
+
+def packed_symbols(engine: str) -> bytes:
+    """:func:`symbol_table`, small enough to travel with a task: asking a library for the
+    classes of all code points takes seconds, which no worker should spend again."""
+    return zlib.compress(symbol_table(engine).tobytes())
+
+
+@lru_cache(maxsize=2)
+def unpacked_symbols(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
