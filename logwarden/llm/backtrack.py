@@ -56,6 +56,72 @@ class Offsets:
         return self.flat[np.arange(total) + shift], ends
 
 
+class MergeRules:
+    """Which rule joins two tokens, and whether a cut between two tokens outlasts all rules.
+    Every token is made by one rule, which comes after those of its halves."""
+
+    def __init__(self, merges: list[tuple[int, int, int]], size: int):
+        """``merges``: (left, right, what they make) by rank."""
+        self.rules: dict[tuple[int, int], int] = {}  # two tokens -> rank of what they make
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.rank = [-1] * size
+        for rank, (a, b, whole) in enumerate(merges):
+            if whole in self.halves or max(self.rank[a], self.rank[b]) >= rank:
+                raise ValueError("a token has two rules, or one that comes before its halves'")
+            self.rules[a, b] = rank
+            self.halves[whole] = (a, b)
+            self.rank[whole] = rank
+        self.spines: dict[int, list[tuple[int, int]]] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def _spine(self, token: int, last: bool) -> list[tuple[int, int]]:
+        """What stands at the end (or at the start) of a token while it is merged, and at
+        which rank it is taken up by the next."""
+        out, until, part = [], NEVER, token
+        while True:
+            out.append((part, until))
+            if part not in self.halves:
+                break
+            until = self.rank[part]
+            part = self.halves[part][last]
+        self.spines[token << 1 | last] = out
+        return out
+
+    def cut_lasts(self, left: int, right: int, until: int = NEVER) -> bool:
+        """No rule joins something across the cut before it is taken up from its own side.
+        Of equal rules the left one goes first, so the left side wins a tie."""
+        find = self.rules.get
+        ends = self.spines.get(left << 1 | 1) or self._spine(left, True)
+        starts = self.spines.get(right << 1) or self._spine(right, False)
+        for x, x_until in ends:
+            for y, y_until in starts:
+                rank = find((x, y))
+                if rank is not None and rank < min(x_until, until) and rank <= min(y_until, until):
+                    return False
+        return True
+
+    def occurring(self, numbers) -> dict[int, bool]:
+        """Whether each token can occur: its halves can, and their cut lasts until their own
+        rule joins them."""
+        out: dict[int, bool] = {}
+        for number in sorted(numbers, key=self.rank.__getitem__):  # halves come first
+            if number in self.halves:
+                a, b = self.halves[number]
+                out[number] = out[a] and out[b] and self.cut_lasts(a, b, self.rank[number])
+            else:
+                out[number] = True
+        return out
+
+    def may_follow(self, left: int, right: int) -> bool:
+        key = left << 32 | right
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= CACHED_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.cut_lasts(left, right)
+        return known
+
+
 class Vocabulary:
     """Tokens of a byte-level vocabulary file, and how they may follow each other."""
 
@@ -76,33 +142,15 @@ class Vocabulary:
         self.bytes = Offsets(tokens)
         self.labels = Offsets([b"%d," % k for k in range(size)])
 
-        self.rules: dict[tuple[int, int], int] = {}  # two tokens -> rank of what they make
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.rank = [-1] * size
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            whole = ids[a + b]
-            if whole in self.halves or max(self.rank[ids[a]], self.rank[ids[b]]) >= rank:
-                raise ValueError("a token has two rules, or one that comes before its halves'")
-            self.rules[ids[a], ids[b]] = rank
-            self.halves[whole] = (ids[a], ids[b])
-            self.rank[whole] = rank
-        self.spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self.pairs: dict[int, bool] = {}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        self.merges = MergeRules([(ids[a], ids[b], ids[a + b]) for a, b in pairs], size)
         self.encoded: dict[bytes, bytes] = {}
         self._index(ids.values())
 
     def _index(self, numbers) -> None:
         """Automaton over the tokens that can occur, and of each the longest shorter one that
-        it begins with. A token can occur if its halves can and their cut lasts until their
-        own rule joins them."""
-        usable: dict[int, bool] = {}
-        for number in sorted(numbers, key=self.rank.__getitem__):  # halves come first
-            if number in self.halves:
-                a, b = self.halves[number]
-                usable[number] = usable[a] and usable[b] and self._cut_lasts(a, b, self.rank[number])
-            else:
-                usable[number] = len(self.tokens[number]) == 1
+        it begins with."""
+        usable = self.merges.occurring(numbers)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         number_of = {self.tokens[k]: k for k, fine in usable.items() if fine}
         for token, number in number_of.items():
@@ -118,41 +166,8 @@ class Vocabulary:
                     break
         self.width = list(map(len, self.tokens))
 
-    def _spine(self, token: int, last: bool) -> list[tuple[int, int]]:
-        """What stands at the end (or at the start) of a token while it is merged, and at
-        which rank it is taken up by the next."""
-        out, until = [], NEVER
-        while True:
-            out.append((token, until))
-            if token not in self.halves:
-                return out
-            until = self.rank[token]
-            token = self.halves[token][last]
-
-    def _cut_lasts(self, left: int, right: int, until: int = NEVER) -> bool:
-        """No rule joins something across the cut before it is taken up from its own side.
-        Of equal rules the left one goes first, so the left side wins a tie."""
-        rules = self.rules
-        ends = self.spines.get((left, True)) or self.spines.setdefault((left, True), self._spine(left, True))
-        starts = self.spines.get((right, False)) or self.spines.setdefault((right, False), self._spine(right, False))
-        for x, x_until in ends:
-            for y, y_until in starts:
-                rank = rules.get((x, y))
-                if rank is not None and rank < min(x_until, until) and rank <= min(y_until, until):
-                    return False
-        return True
-
-    def may_follow(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._cut_lasts(left, right)
-        return known
-
     def encode_piece(self, piece: bytes) -> list[int]:
-        n, width, shorter, known = len(piece), self.width, self.shorter, self.pairs
+        n, width, shorter, known = len(piece), self.width, self.shorter, self.merges.pairs
         longest = [0] * n
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - width[token]] = token  # a longer one ends later
@@ -165,7 +180,7 @@ class Vocabulary:
             if follows and out:
                 follows = known.get(out[-1] << 32 | token)
                 if follows is None:
-                    follows = self.may_follow(out[-1], token)
+                    follows = self.merges.may_follow(out[-1], token)
             if follows:
                 out.append(token)
                 place = end

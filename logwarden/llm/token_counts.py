@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -20,23 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from logwarden.llm import arrow, segment
+from logwarden.llm import arrow, backtrack, segment
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 18
 CACHED_LENGTH = 64  # bytes of a word that is kept
-CACHED_PAIRS = 1 << 20
 END = "</w>"
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write for bytes."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Counter:
     """Counts of words. Tokens are numbers; a token that ends a word is another one than
     the same bytes within a word."""
@@ -48,86 +42,71 @@ class Counter:
             spec = json.load(file)
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.special = [t["content"] for t in spec["added_tokens"]]
-        letters = byte_letters()
+        letters = backtrack.byte_letters()
 
         def parsed(token: str) -> tuple[bytes, bool]:
             last = token.endswith(END) and token != END
             return bytes(letters[c] for c in (token[:-len(END)] if last else token)), last
 
-        vocabulary = {parsed(token): number for token, number in spec["model"]["vocab"].items()}
-        self.ids = vocabulary
-        merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {}
-        for rank, (a, b) in enumerate(merges):
+        ids = {parsed(token): number for token, number in spec["model"]["vocab"].items()}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        merges = []
+        for a, b in pairs:
             (x, inner), (y, last) = parsed(a), parsed(b)
-            self.merges[vocabulary[x, inner], vocabulary[y, last]] = (rank, vocabulary[x + y, last])
-        self.bytes_of = {number: (raw, last) for (raw, last), number in vocabulary.items()}
-        # Every start of a token that can occur: its number within a word, and at the end.
-        self.starts: dict[bytes, tuple[int, int]] = {}
-        whole: dict[bytes, list[int]] = {}
-        for (raw, last), number in vocabulary.items():
-            if self.encode(raw, last) == [number]:
-                whole.setdefault(raw, [-1, -1])[last] = number
-        for raw in whole:
-            for k in range(1, len(raw)):
-                self.starts.setdefault(raw[:k], (-1, -1))
-        self.starts |= {raw: tuple(numbers) for raw, numbers in whole.items()}
-        self.fitting: dict[int, bool] = {}
-        self.words: dict[bytes, np.ndarray] = {}
-
-    def encode(self, raw: bytes, last: bool) -> list[int]:
-        """Merge by rank; used once for a pair of tokens."""
-        parts = [self.ids[raw[k:k + 1], last and k == len(raw) - 1] for k in range(len(raw))]
-        while len(parts) > 1:
-            found = [self.merges.get(pair) for pair in zip(parts, parts[1:])]
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                break
-            k = found.index(best)
-            parts[k:k + 2] = [best[1]]
-        return parts
-
-    def fits(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.fitting.get(key)
-        if known is None:
-            (x, _), (y, last) = self.bytes_of[left], self.bytes_of[right]
-            known = self.encode(x + y, last) == [left, right]
-            if len(self.fitting) >= CACHED_PAIRS:
-                self.fitting.clear()
-            self.fitting[key] = known
-        return known
+            merges.append((ids[x, inner], ids[y, last], ids[x + y, last]))
+        self.merges = backtrack.MergeRules(merges, max(ids.values()) + 1)
+        # Every byte string that is a token: its number within a word, and at the end.
+        tokens: dict[bytes, list[int]] = {}
+        usable = self.merges.occurring(ids.values())
+        for (raw, last), number in ids.items():
+            if usable[number] and raw:
+                tokens.setdefault(raw, [-1, -1])[last] = number
+        self.automaton = ahocorasick.Automaton()
+        for raw, (within, ending) in tokens.items():
+            self.automaton.add_word(raw.decode("latin-1"), (len(raw), within, ending))
+        self.automaton.make_automaton()
+        self.words: dict[bytes, bytes] = {}
 
     def prefixes(self, word: bytes) -> list[int]:
-        """Tokens of the word ``word[:k]`` at place k - 1, for every k."""
-        n, starts, fits = len(word), self.starts, self.fits
+        """Tokens of the word ``word[:k]`` at place k - 1, for every k. One token can be the
+        last of each prefix within the word, and one its last where the word ends there."""
+        n, known, may_follow = len(word), self.merges.pairs, self.merges.may_follow
         last, inner, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for a in range(n):
-            before, count = last[a], inner[a] + 1
-            if a and before < 0:
-                continue
-            for b in range(a + 1, n + 1):
-                found = starts.get(word[a:b])
-                if found is None:
-                    break
-                within, ending = found
-                if within >= 0 and last[b] < 0 and (not a or fits(before, within)):
-                    last[b], inner[b] = within, count
-                if ending >= 0 and not closed[b] and (not a or fits(before, ending)):
-                    closed[b] = count
+        for end, (width, within, ending) in self.automaton.iter(word.decode("latin-1")):
+            end += 1
+            begin = end - width
+            left = last[begin] << 32
+            if within >= 0 and last[end] < 0:
+                fits = not begin or known.get(left | within)
+                if fits is None:
+                    fits = may_follow(left >> 32, within)
+                if fits:
+                    last[end], inner[end] = within, inner[begin] + 1
+            if ending >= 0 and not closed[end]:
+                fits = not begin or known.get(left | ending)
+                if fits is None:
+                    fits = may_follow(left >> 32, ending)
+                if fits:
+                    closed[end] = inner[begin] + 1
         return closed[1:]
 
-    def inner(self, word: bytes) -> np.ndarray:
-        """Counts of the word's prefixes that end where a character ends."""
-        known = self.words.get(word)
-        if known is None:
+    def inner(self, words: list[bytes]) -> list[bytes]:
+        """Of each word the counts of its prefixes that end where a character ends, as 32-bit
+        numbers."""
+        found = list(map(self.words.get, words))
+        new = {word for word, counts in zip(words, found) if counts is None}
+        if not new:
+            return found
+        fresh = {}
+        for word in new:
             counts = self.prefixes(word)
-            known = np.array([c for k, c in enumerate(counts, 1) if k == len(word) or word[k] & 0xC0 != 0x80], np.int32)
-            if len(word) <= CACHED_LENGTH:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = known
-        return known
+            if not word.isascii():
+                counts = [c for k, c in enumerate(counts, 1) if k == len(word) or word[k] & 0xC0 != 0x80]
+            fresh[word] = array("i", counts).tobytes()
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words.clear()
+        self.words.update((word, counts) for word, counts in fresh.items() if len(word) <= CACHED_LENGTH)
+        return [fresh[word] if counts is None else counts for word, counts in zip(words, found)]
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +122,7 @@ def normalized(text: str, words: Counter) -> str:
     return words.normalizer.normalize_str(text)
 
 
-def word_slices(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def word_slices(texts: list[str], table: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words of all texts as bytes; per text how many precede it; where each word ends, in
     code points of its text."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -154,7 +133,7 @@ def word_slices(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     symbols = np.full(len(points) + n, segment.BREAK, np.uint8)
     text = np.ones(len(symbols), bool)
     text[rows[:-1] + np.arange(n)] = False
-    symbols[text] = kinds = segment.symbol_table("tokenizers")[points]
+    symbols[text] = kinds = table[points]
     starts = np.flatnonzero(segment.boundaries(symbols, lead=False)[text])
     stops = np.r_[starts[1:], len(points)][:len(starts)]
     filled = (kinds[starts] != segment.SPACE) & (kinds[starts] != segment.WHITE)
@@ -179,12 +158,58 @@ def segments(text: str, words: Counter) -> list[str]:
         begin = place + len(special)
 
 
-def count_rows(column: pa.Array, path: str) -> list[pa.Array]:
+def prefix_counts(texts: list[str], path: str, packed: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text as normalized, the counts of its prefixes, those of all texts one behind the
+    other, and the offsets of the texts in them. A text has a place before its first
+    character; special strings count at the place where they stand."""
+    words = counter(path)
+    parts: list[str] = []  # normalized stretches between special strings
+    owner: list[int] = []  # text of each
+    before: list[int] = []  # special strings of the text in front of it
+    marks: list[tuple[int, int, int]] = []  # special strings so far behind so many parts of a text
+    for row, text in enumerate(texts):
+        special = 0
+        for part in segments(text, words):
+            if part is None:
+                special += 1
+                marks.append((row, len(parts), special))
+            else:
+                parts.append(normalized(part, words))
+                owner.append(row)
+                before.append(special)
+    owner, before = np.array(owner, np.int64), np.array(before, np.int64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    rows = np.searchsorted(owner, np.arange(len(texts) + 1))  # parts of each text
+    ends = np.r_[0, np.cumsum(lengths)]
+    starts = ends[rows] + np.arange(len(texts) + 1)  # places of each text
+    found, first, stops = word_slices(parts, segment.unpacked_symbols(packed))
+    inner = words.inner(found)
+    counts = np.frombuffer(b"".join(inner), np.int32).astype(np.int64)
+    widths = np.fromiter(map(len, inner), np.int64, len(inner)) // 4
+    last = np.cumsum(widths)
+    totals = np.r_[0, np.cumsum(counts[last - 1])]  # tokens before each word of the chunk
+    per_part = np.diff(first)
+    base = totals[:-1] - np.repeat(totals[first[rows]][owner], per_part) + np.repeat(before, per_part)
+    stops = stops + np.repeat(ends[:-1] + owner + 1, per_part)
+    places = np.arange(len(counts)) + np.repeat(stops - last, widths)
+    out = np.zeros(int(starts[-1]), np.int64)
+    filled = np.zeros(len(out), np.int64)
+    out[places] = counts + np.repeat(base, widths)
+    filled[places] = places
+    filled[starts[:-1]] = starts[:-1]
+    for row, done, special in marks:
+        place = int(ends[done]) + row
+        out[place] = totals[first[done]] - totals[first[rows[row]]] + special
+        filled[place] = place
+    out = out[np.maximum.accumulate(filled)]
+    return ["".join(parts[a:b]) for a, b in zip(rows.tolist(), rows[1:].tolist())], out, starts
+
+
+def count_rows(column: pa.Array, path: str, packed: bytes) -> list[pa.Array]:
     """Bytes and tokens of each text: the last of the counts of its prefixes."""
     _, ends = arrow.flat(column)
-    _, counts = prefix_rows(column, path)
-    last = counts.offsets.to_numpy()[1:] - 1  # a text has a count at place 0 at least
-    return [pa.array(np.diff(ends)), pa.array(counts.values.to_numpy()[last].astype(np.int64))]
+    _, counts, starts = prefix_counts(column.to_pylist(), path, packed)
+    return [pa.array(np.diff(ends)), pa.array(counts[starts[1:] - 1])]
 
 
 def token_counts(
@@ -193,41 +218,16 @@ def token_counts(
     """``keep`` columns, ``n_bytes``, ``n_tokens`` and ``over_limit`` for every row. Null and
     empty texts have no bytes and no tokens; repeated rows are counted each. A special string
     in a text counts as its one token. ``path``: the vocabulary, present on every executor."""
-    fields = [StructField("n_bytes", LongType()), StructField("n_tokens", LongType())]
+    fields, packed = [StructField("n_bytes", LongType()), StructField("n_tokens", LongType())], segment.packed_symbols("tokenizers")
     counted = arrow.map_texts(
-        docs, [F.col(c) for c in keep], F.col(text), fields, lambda column: count_rows(column, path)
+        docs, [F.col(c) for c in keep], F.col(text), fields, lambda column: count_rows(column, path, packed)
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def prefix_rows(column: pa.Array, path: str) -> list[pa.Array]:
-    words, out, shown = counter(path), [], []
-    for text in column.to_pylist():
-        counts, before, pieces = [np.zeros(1, np.int64)], 0, []
-        for part in segments(text, words):
-            if part is None:  # counted at its end; a prefix within it is not asked for
-                before += 1
-                counts[-1][-1] = before
-                continue
-            clean = normalized(part, words)
-            pieces.append(clean)
-            here = np.full(len(clean), -1, np.int64)
-            found, _, stops = word_slices([clean])
-            total = before
-            for word, stop in zip(found, stops.tolist()):
-                inner = words.inner(word)
-                here[stop - len(inner):stop] = inner
-                here[stop - len(inner):stop] += total
-                total += int(inner[-1])
-            carried = np.maximum.accumulate(np.where(here < 0, 0, np.arange(1, len(here) + 1)))
-            here = np.where(carried > 0, here[carried - 1], before) if len(here) else here
-            if len(here):
-                counts.append(here)
-            before = total
-        out.append(np.concatenate(counts).astype(np.int32))
-        shown.append("".join(pieces))
-    ends = np.r_[0, np.cumsum([len(c) for c in out])]
-    return [pa.array(shown, pa.string()), arrow.lists(ends, np.concatenate(out) if out else np.zeros(0, np.int32))]
+def prefix_rows(column: pa.Array, path: str, packed: bytes) -> list[pa.Array]:
+    shown, counts, starts = prefix_counts(column.to_pylist(), path, packed)
+    return [pa.array(shown, pa.string()), arrow.lists(starts, counts.astype(np.int32))]
 
 
 def prefix_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -235,7 +235,8 @@ def prefix_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     and ``prefix_tokens array<int>``: at place k the tokens of its first k characters, as the
     library would count them. Place 0 counts special strings before any text."""
     fields = [StructField("normalized", StringType()), StructField("prefix_tokens", ArrayType(IntegerType()))]
-    return arrow.map_texts(docs, [F.col(c) for c in keep], F.col(text), fields, lambda column: prefix_rows(column, path))
+    packed = segment.packed_symbols("tokenizers")
+    return arrow.map_texts(docs, [F.col(c) for c in keep], F.col(text), fields, lambda column: prefix_rows(column, path, packed))
 
 
 def longest_within(table: DataFrame, budget: int) -> DataFrame:

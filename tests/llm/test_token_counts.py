@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from logwarden.llm import arrow, token_counts
+from logwarden.llm import arrow, segment, token_counts
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def test_counts_are_the_librarys(library):
     texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 50))) for _ in range(2000)]
     texts += ["".join(chr(pick.choice([pick.randrange(32, 0xD800), pick.randrange(0xE000, 0x110000)])) for _ in range(40)) for _ in range(300)]
     texts += ["", "a<|endoftext|>b <|startoftext|><|endoftext|> <|x", " ", "<|endoftext|>"]
-    got = token_counts.count_rows(arrow.texts(pa.array(texts)), token_counts.VOCABULARY)[1].to_pylist()
+    got = token_counts.count_rows(arrow.texts(pa.array(texts)), token_counts.VOCABULARY, segment.packed_symbols("tokenizers"))[1].to_pylist()
     assert got == [counted(library, t) for t in texts]
 
 
@@ -56,7 +56,18 @@ def test_whole_table_against_library(spark, sf_dir, library):
 def test_totals_come_from_the_counts_of_prefixes(monkeypatch):
     texts = arrow.texts(pa.array(["one two", "", None, "<|endoftext|>", "a <|endoftext|> b", "é日本"]))
     asked = []
-    whole = token_counts.prefix_rows
-    monkeypatch.setattr(token_counts, "prefix_rows", lambda column, path: asked.append(whole(column, path)) or asked[-1])
-    _, totals = token_counts.count_rows(texts, token_counts.VOCABULARY)
-    assert totals.to_pylist() == [c[-1] for c in asked[0][1].to_pylist()]
+    whole = token_counts.prefix_counts
+    monkeypatch.setattr(token_counts, "prefix_counts", lambda *given: asked.append(whole(*given)) or asked[-1])
+    packed = segment.packed_symbols("tokenizers")
+    _, totals = token_counts.count_rows(texts, token_counts.VOCABULARY, packed)
+    assert len(asked) == 1
+    assert totals.to_pylist() == [c[-1] for c in token_counts.prefix_rows(texts, token_counts.VOCABULARY, packed)[1].to_pylist()]
+
+
+def test_special_strings_within_a_chunk(library):
+    """Leading, doubled and trailing ones, beside texts without, each place by the library."""
+    texts = ["x", "<|endoftext|><|endoftext|>a b ", "", "a <|startoftext|> ", "<|endoftext|>", "no", " <|endoftext|> é <|endoftext|>c"]
+    rows = token_counts.prefix_rows(arrow.texts(pa.array(texts)), token_counts.VOCABULARY, segment.packed_symbols("tokenizers"))
+    for text, shown, counts in zip(texts, rows[0].to_pylist(), rows[1].to_pylist()):
+        assert len(counts) == len(shown) + 1 and counts[-1] == counted(library, text)
+    assert rows[1].to_pylist()[1] == [2, 3, 3, 4, 4]
