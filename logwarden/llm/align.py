@@ -14,6 +14,7 @@ the tasks; the rest, which no text shares with many others, is joined by a shuff
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
@@ -116,7 +117,7 @@ def both_sides(column: pa.Array, first: str, second: str, packed: bytes) -> Side
     found = model.model.encode(column.to_pylist(), num_threads=1)
     b_counts = np.fromiter(map(len, found), np.int64, len(found))
     b_rows = np.r_[0, np.cumsum(b_counts)]
-    b = np.fromiter((k for row in found for k in row), np.int32, int(b_rows[-1]))
+    b = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(b_rows[-1]))
     data, rows = arrow.flat(spaced)
     raw, lengths = data.tobytes(), np.diff(rows)
     fine = lengths > 1

@@ -42,7 +42,7 @@ class Memo:
         """A bit for each entry that has to be compared, by part."""
         cells = parts >> self.bits
         powers = np.cumprod(np.full(cells.shape[1], _MIX)) if cells.shape[1] else np.zeros(0, np.uint64)
-        hashes = (cells.astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
+        hashes = cells.astype(np.uint64) @ powers
         hashes ^= hashes >> np.uint64(31)
         _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         corners = np.ascontiguousarray(cells[first])
@@ -61,23 +61,28 @@ class Memo:
         return out
 
     def undominated(self, corners: np.ndarray) -> np.ndarray:
-        low = (corners << self.bits)[:, None, :]
-        high = low + (1 << self.bits) - 1
-        entries = self.entries[None, :, :]
-        nearest = np.maximum(np.maximum(low - entries, entries - high), 0)
-        farthest = np.maximum(np.abs(entries - low), np.abs(entries - high))
-        least, most = (nearest * nearest).sum(axis=2), (farthest * farthest).sum(axis=2)
-        return ((least <= most.min(axis=1)[:, None]) << np.arange(len(self.entries))).sum(axis=1)
+        """Distances to a box add up over positions, and cells have few sides of their own at
+        each, so these are worked out once."""
+        least = np.zeros((len(corners), len(self.entries)), np.int64)
+        most = np.zeros_like(least)
+        for entries, sides in zip(self.entries.T, corners.T):
+            values, at = np.unique(sides, return_inverse=True)
+            low = (values << self.bits)[:, None]
+            high = low + (1 << self.bits) - 1
+            least += (np.maximum(np.maximum(low - entries, entries - high), 0) ** 2)[at]
+            most += (np.maximum(np.abs(entries - low), np.abs(entries - high)) ** 2)[at]
+        return ((least <= most.min(axis=1, initial=np.iinfo(np.int64).max)[:, None]) << np.arange(len(self.entries))).sum(axis=1)
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and squared distance of each part; of equal distances the lower entry."""
+        parts = np.ascontiguousarray(parts)
         masks = self.candidates(parts)
         best = np.full(len(parts), np.iinfo(np.int64).max)
         index = np.zeros(len(parts), np.int64)
         for k, entry in enumerate(self.entries):
             rows = np.flatnonzero(masks >> k & 1)
-            apart = parts[rows] - entry
-            distance = (apart * apart).sum(axis=1)
+            apart = (parts if len(rows) == len(parts) else parts[rows]) - entry
+            distance = np.einsum("ij,ij->i", apart, apart)
             nearer = distance < best[rows]
             best[rows[nearer]], index[rows[nearer]] = distance[nearer], k
         return index, best
