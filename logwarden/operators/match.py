@@ -2,7 +2,7 @@
 
 The rule list is turned into one `CASE` per log group and rule kind, so matching is
 a map-side projection: no join, no shuffle, constant patterns. A cheap search for
-text the rule requires stands before each regex.
+text the rule requires stands before each regex. Long lists go through `rule_index`.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.net import ip_version as version_of
 from logwarden.functions.net import normalize_ip
+from logwarden.operators import rule_index
+from logwarden.operators.rule_index import decision_tree, quoted
 from logwarden.operators.rules import required_texts, usable_rules
 
 HIT_COLUMNS = ["seq", "ts", "log_group", "kind", "rule_idx", "score", "ip", "ip_version", "port", "line", "group_idx"]
 
 
+INDEXED_FROM = 64  # longer lists are searched through an index of their required texts
+
+
 def match_line(line: Column, regex: str) -> Column:
     """Whole-line, case-insensitive match."""
     return line.rlike(whole_line(regex))
@@ -63,11 +68,6 @@ def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     ).select(*[c if c != "ip_version" else version_of("ip").alias(c) for c in HIT_COLUMNS])
 
 
-def quoted(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
-
-
 def _first_in_group(numbered: list, key: str) -> str:
     """Number of the first matching rule among those of the line's own group."""
     groups: dict = {}
@@ -81,6 +81,8 @@ def _first_in_group(numbered: list, key: str) -> str:
 
 
 def _first_match(numbered: list) -> str:
+    if len(numbered) > INDEXED_FROM:
+        return rule_index.first_match(numbered, lambda regex: f"line RLIKE {quoted(whole_line(regex))}")
     texts = [required_texts(r["pattern"]) for _, r in numbered]
     shared = shared_text(texts)
     branches = []
@@ -97,12 +99,13 @@ def _first_match(numbered: list) -> str:
 def _fields_of(usable: list) -> str:
     """Address and port cut out by one run of the matched rule's regex, a line feed
     between them."""
-    branches = []
-    for n, r in enumerate(usable):
+    def cut(item) -> str:
+        _, r = item
         port = f"${r['port_group']}" if r["port_pos"] != -1 else ""
         fields = f"${r['ip_group']}\n{port}"
-        branches.append(f"WHEN n = {n} THEN regexp_replace(line, {quoted(whole_line(r['regex']))}, {quoted(fields)})")
-    picked = f"CASE {' '.join(branches)} END" if branches else "cast(n AS string)"
+        return f"regexp_replace(line, {quoted(whole_line(r['regex']))}, {quoted(fields)})"
+
+    picked = decision_tree(list(enumerate(usable)), "n", cut, lambda item: str(item[0])) if usable else "cast(n AS string)"
     return f"element_at(transform(array(rule_pos), n -> {picked}), 1)"
 
 

@@ -27,10 +27,12 @@ _ESCAPE = re.compile(
 
 
 def java_pattern(pattern: Column) -> Column:
-    """Named classes within brackets, such as ``[[:digit:]]``, in Java's spelling."""
+    """Named classes within brackets, such as ``[[:digit:]]``, in Java's spelling. A match goes
+    on from the one before it (``\\G``) within the same bracket, which may name a class twice."""
     for name, java in NAMED_CLASSES.items():
-        inside = r"(\[\^?(?:[^\[\]\\]|\\.|\[:[a-z]+:\])*?)\[:" + name + r":\]"
-        pattern = F.regexp_replace(pattern, inside, "$1" + java.replace("\\", "\\\\"))
+        opened = r"((?<!(?<!\\)\\)\[\^?|\G(?!\A))"
+        inside = opened + r"((?:[^\[\]\\]|\\.|\[:[a-z]+:\])*?)\[:" + name + r":\]"
+        pattern = F.regexp_replace(pattern, inside, "$1$2" + java.replace("\\", "\\\\"))
     return pattern
 
 

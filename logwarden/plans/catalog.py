@@ -103,6 +103,15 @@ def match_posix(spark, sf_dir):
     return found.select("seq", "rule_idx", "score", "ip", "port")
 
 
+def match_long_list(spark, sf_dir):
+    """A thousand rules of one group, most of them for a beginning that two user names share."""
+    patterns = [("OpenSSH", 0, rf"^.+? Invalid user u{k}[0-9]? from %i port %p", k % 50 + 1, []) for k in range(1000)]
+    patterns.insert(500, ("OpenSSH", 0, r"^.+? (?:ROOT|root) LOGIN REFUSED FROM %i", 60, []))
+    patterns.insert(700, ("OpenSSH", 0, r"^\w+\s+\d+[^a-z]+\w+\s\w+:\s.+?=%i\s.*", 61, []))
+    found = match.match_rules(demo.log_lines(spark, sf_dir), _own_rules(spark, patterns))
+    return found.select("seq", "rule_idx", "score", "ip", "port")
+
+
 def rule_problems(spark, sf_dir):
     """A rule for every supplier, of which some cannot be used."""
     key, name = F.col("s_suppkey"), F.replace("s_name", F.lit("#"), F.lit("-"))
@@ -836,7 +845,7 @@ QUERIES = {
         mask_text, mask_list, comment_rendering, payload,
         ip_version, ip6_format, trim, format_epoch, offset_times, headers, categories, scalar_parsers,
         state_import, state_duplicates, feed_import, bookmark_import, sync_import, state_load_report,
-        match_escapes, match_posix, rule_problems, repeated_groups,
+        match_escapes, match_posix, match_long_list, rule_problems, repeated_groups,
         rules_load, rules_compile, rules_rejected, groups_load, files_load, settings_load,
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,

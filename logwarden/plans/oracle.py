@@ -326,6 +326,12 @@ EPISODES = f"""{scored_sql()}, flagged AS (
 ORACLE = {
     "match_escapes": NUMBERED_RULES,
     "match_posix": NUMBERED_RULES,
+    "match_long_list": f"""WITH {EV}, keyed AS (SELECT *, CASE WHEN user_id >= 10 THEN user_id // 10 ELSE user_id END AS k FROM ev)
+        SELECT seq, CAST(k + CASE WHEN k < 500 THEN 0 WHEN k < 699 THEN 1 ELSE 2 END AS INTEGER) AS rule_idx,
+          CAST(k % 50 + 1 AS BIGINT) AS score, ip, CAST(seq % 60000 + 1024 AS INTEGER) AS port
+        FROM keyed WHERE event_type = 'error' AND k < 1000
+        UNION ALL SELECT seq, 500, 60, ip, NULL FROM ev WHERE event_type = 'signup'
+        UNION ALL SELECT seq, 700, 61, ip, NULL FROM ev WHERE event_type = 'purchase'""",
     "rule_problems": """SELECT CAST(s_suppkey AS INTEGER) AS rule_idx, s_suppkey % 6 = 4 AS no_place
         FROM supplier WHERE s_suppkey % 6 IN (1, 3, 4, 5)""",
     "repeated_groups": f"""WITH {HITS} SELECT seq, CAST(CASE WHEN event_type = 'click' THEN 1 ELSE seq % 2 * 2 END AS INTEGER) AS group_idx,
