@@ -4,9 +4,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ CATEGORY_NAMES = {
 }
 
 COVER_SECONDS = 3600
+BLOCK_SECONDS = 86_400
+LONG_AGO = -(1 << 62)
 
 
 def report_settings(hits: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -66,47 +70,133 @@ def not_whitelisted(rows: DataFrame, state: DataFrame) -> DataFrame:
     return salted_join(rows, listed, "ip", counts, "left_anti").select(*rows.columns)
 
 
-def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_GAP_SECONDS) -> DataFrame:
+def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_GAP_SECONDS, block: int = BLOCK_SECONDS) -> DataFrame:
     """Per address, report the first candidate and then each first one that is at least
     ``gap`` seconds after the last reported; a stored ``last_reported`` counts too.
     Addresses on the allow list are not reported.
 
-    Candidates are first cut down to one per address and second, which is all that can
-    matter, so the ordered pass below sees at most one row per second of the log. It
-    reads its partition as a stream and keeps one number per address.
+    An address's log is cut into blocks of ``block`` seconds (``gap`` or more). What the reports
+    before a block mean for it is one number, the time of the last one, and what the block does
+    to that number is a short table (:func:`block_functions`), worked out for all blocks side by
+    side. Going through an address's tables in order, one row per block, gives the number with
+    which each block begins; then the blocks choose their reports, again side by side. So no
+    task sees more of an address than one block of seconds, or a row for each of its blocks.
+    Only address, time and number of a candidate go through this; the chosen ones are looked up.
     """
-    firsts = candidates.groupBy("ip", "ts").agg(F.min_by(F.struct(*candidates.columns), "seq").alias("first"))
-    seen = state.select("ip", "last_reported", "whitelisted")
-    ordered = (
-        firsts.select("ip", "ts")
-        .join(seen, "ip", "left")
+    if block < gap:
+        raise ValueError("a block is at least as long as the gap")
+    number = F.floor(F.col("ts") / block)
+    seconds = candidates.groupBy("ip", "ts").agg(F.min("seq").alias("seq")).withColumn("block", number)
+    # Nothing before a stored report's gap is over can be chosen, so the first block that is left begins free.
+    free_from = F.when(F.col("last_reported").isNotNull(), F.col("last_reported") + gap).otherwise(F.lit(gap))
+    allowed = (
+        seconds.select("ip", "block").distinct()
+        .join(state.select("ip", "last_reported", "whitelisted"), "ip", "left")
         .filter(~F.coalesce("whitelisted", F.lit(False)))
-        .select("ip", "ts", F.coalesce("last_reported", F.lit(0)).alias("last_reported"))
-        .repartition("ip")
-        .sortWithinPartitions("ip", "ts")
+        .select("ip", "block", free_from.alias("free_from"))
     )
+    open_seconds = seconds.join(allowed, ["ip", "block"]).filter("ts >= free_from").select("ip", "block", "ts", "seq")
+    ordered = open_seconds.repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from block_functions(batches, gap, block)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from last_before(batches, gap, block)
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from pick_spaced(batches, gap)
 
-    chosen = ordered.mapInPandas(emitted, "ip string, ts bigint")
-    return firsts.join(chosen, ["ip", "ts"], "left_semi").select("first.*")
+    shapes = ordered.select("ip", "block", "ts").mapInArrow(tables, "ip string, block bigint, since array<bigint>, last array<bigint>")
+    begins = shapes.repartition("ip").sortWithinPartitions("ip", "block").mapInArrow(folded, "ip string, block bigint, last_reported bigint")
+    started = open_seconds.join(begins, ["ip", "block"]).repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
+    chosen = started.mapInPandas(emitted, "ip string, ts bigint, seq bigint")
+    found = candidates.join(chosen, ["ip", "ts", "seq"], "left_semi")
+    # A line may be a candidate twice; one of them is reported.
+    return found.groupBy("ip", "ts").agg(F.min_by(F.struct(*found.columns), "seq").alias("one")).select("one.*")
+
+
+def block_functions(batches: Iterator[pa.RecordBatch], gap: int, block: int) -> Iterator[pa.RecordBatch]:
+    """For each block of seconds (rows ``ip, block, ts``, sorted) what it makes of the time of the
+    last report before it: ``since`` and ``last``, in order. Where reports may go on from a time x,
+    the first of ``since`` that is x or later gives the block's last report; none, no report.
+    Reports may go on within the block's first ``gap`` seconds, so there are at most that many."""
+    rest = None
+    for batch in chain(batches, [None]):
+        parts = [b for b in (rest, batch) if b is not None and b.num_rows]
+        if not parts:
+            continue
+        table = pa.Table.from_batches(parts)
+        ips = table.column("ip").combine_chunks()
+        ts = table.column("ts").to_numpy()
+        number = table.column("block").to_numpy()
+        codes = ips.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (number[1:] != number[:-1])])
+        if batch is not None:  # the last block may go on in the next batch
+            whole = int(starts[-1])
+            rest = table.slice(whole).combine_chunks().to_batches()[0]
+            starts = starts[:-1]
+        else:
+            whole, rest = len(ts), None
+        if not len(starts):
+            continue
+        ts, number = ts[:whole], number[:whole]
+        ends = np.r_[starts[1:], whole]
+        owner = np.repeat(np.arange(len(starts)), ends - starts)
+        key = owner * (3 * block) + (ts - number * block)
+        after = np.searchsorted(key, key + gap)  # the next report after each, if its block has one
+        here = np.arange(whole)
+        last = np.where(after < ends[owner], np.minimum(after, whole - 1), here)
+        while True:  # twice as far in each step
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        offset = ts - number * block
+        entry = (offset < gap) | (here == np.searchsorted(key, owner * (3 * block) + gap))
+        at = here[entry]
+        same = (owner[at][1:] == owner[at][:-1]) & (last[at][1:] == last[at][:-1])
+        at = at[np.r_[~same, True]]  # of equal ones the last stands for all
+        lists = np.searchsorted(owner[at], np.arange(len(starts) + 1))
+        column = lambda values: pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(values, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [ips.take(pa.array(starts)), pa.array(number[starts]), column(ts[at]), column(ts[last[at]])],
+            names=["ip", "block", "since", "last"],
+        )
+
+
+def last_before(batches: Iterator[pa.RecordBatch], gap: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Time of the last report before each block, from rows of :func:`block_functions` sorted by
+    address and block; long ago where there is none. One number is carried along."""
+    open_ip, reported = None, LONG_AGO
+    for batch in batches:
+        out = []
+        bounds = batch.column(2).offsets.to_pylist()
+        since, last = (batch.column(k).values.to_numpy() for k in (2, 3))
+        for k, ip in enumerate(batch.column(0).to_pylist()):
+            if ip != open_ip:
+                open_ip, reported = ip, LONG_AGO
+            out.append(reported)
+            at = bounds[k] + int(np.searchsorted(since[bounds[k]:bounds[k + 1]], reported + gap))
+            if at < bounds[k + 1]:
+                reported = int(last[at])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["ip", "block", "last_reported"])
 
 
 def pick_spaced(batches: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFrame]:
-    """Greedy choice over rows sorted by `ip, ts`, all addresses of a batch at once;
-    an address that goes on in the next batch takes its last choice along."""
-    open_ip, open_last = None, None
+    """Greedy choice over rows sorted by `ip, block, ts`, all blocks of a batch at once;
+    one that goes on in the next batch takes its last choice along."""
+    open_key, open_last = None, None
     for batch in batches:
         if not len(batch):
             continue
-        ips, ts = batch["ip"].to_numpy(), batch["ts"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, ips[1:] != ips[:-1]])
+        ips, numbers, ts = batch["ip"].to_numpy(), batch["block"].to_numpy(), batch["ts"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (ips[1:] != ips[:-1]) | (numbers[1:] != numbers[:-1])])
         ends = np.r_[starts[1:], len(ts)]
         last = batch["last_reported"].to_numpy()[starts].copy()
-        if ips[0] == open_ip:
+        if (ips[0], numbers[0]) == open_key:
             last[0] = open_last
-        # Position of the first row of the same address at or after a given time.
+        # Position of the first row of the same block at or after a given time.
         owner = np.repeat(np.arange(len(starts)), ends - starts)
         span = int(ts.max()) - int(ts.min()) + 1
         key = owner * span + (ts - ts.min())
@@ -123,9 +213,9 @@ def pick_spaced(batches: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFr
             chosen.append(at)
             last[groups] = ts[at]
             at = first_from(groups, ts[at] + gap)
-        open_ip, open_last = ips[-1], last[-1]
+        open_key, open_last = (ips[-1], numbers[-1]), last[-1]
         rows = np.sort(np.concatenate(chosen))
-        yield pd.DataFrame({"ip": ips[rows], "ts": ts[rows]})
+        yield batch.iloc[rows][["ip", "ts", "seq"]]
 
 
 def render_reports(emitted: DataFrame, settings: Settings, mask_strings: Column | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from logwarden.operators import report as rp
@@ -41,8 +42,35 @@ def test_throttle_is_the_greedy_choice(spark):
         assert sorted((r["ts"], r["seq"]) for r in got if r["ip"] == ip) == expected
 
 
+def test_blocks_choose_as_one_pass(spark):
+    """Blocks of a gap's length up, cut anywhere, batches that end within a block, a stored
+    report within or behind the log, a line that is a candidate twice."""
+    rng = random.Random(11)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows = [(f"ip{i}", rng.randint(0, 4000), rng.randint(0, 10**6)) for i in range(12) for _ in range(rng.choice([1, 20, 200]))]
+    rows += [("hot", t, 5) for t in range(0, 3000)] + [("hot", 7, 5), ("hot", 7, 4)]
+    stored = {"ip1": 1500, "ip2": 9999, "hot": 33}
+    state = spark.createDataFrame([(ip, 0, 0, 0, 0, False, False, t, 4, False) for ip, t in stored.items()], STATE)
+    candidates = spark.createDataFrame(rows, "ip string, ts long, seq long")
+    for block in (100, 101, 1000, 86_400):
+        got = sorted(tuple(r) for r in rp.throttle_reports(candidates, state, 100, block).collect())
+        want = []
+        for ip in sorted({r[0] for r in rows}):
+            times = greedy([t for i, t, _ in rows if i == ip], 100, stored.get(ip, 0))
+            want += [(ip, t, min(s for i, x, s in rows if (i, x) == (ip, t))) for t in times]
+        assert got == sorted(want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tables_of_a_block_are_short():
+    """A second-by-second block of a day: as many entries as the gap has seconds, and one."""
+    day = pa.RecordBatch.from_pydict({"ip": ["a"] * 86_400, "block": [3] * 86_400, "ts": list(range(3 * 86_400, 4 * 86_400))})
+    table = pa.Table.from_batches(rp.block_functions(iter([day.slice(0, 500), day.slice(500)]), 900, 86_400))
+    assert table.num_rows == 1 and len(table.column("since")[0]) <= 901
+
+
 def test_pick_spaced_carries_over_batches():
-    whole = pd.DataFrame({"ip": ["a"] * 50 + ["b"] * 50, "ts": list(range(0, 5000, 100)) * 2, "last_reported": -900})
+    whole = pd.DataFrame({"ip": ["a"] * 50 + ["b"] * 50, "ts": list(range(0, 5000, 100)) * 2, "last_reported": -900, "block": 0, "seq": 0})
     once = pd.concat(rp.pick_spaced(iter([whole]), 900))
     cut = pd.concat(rp.pick_spaced(iter([whole[:3], whole[3:3], whole[3:49], whole[49:]]), 900))
     assert once.values.tolist() == cut.values.tolist()
