@@ -95,7 +95,7 @@ def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_
         .filter(~F.coalesce("whitelisted", F.lit(False)))
         .select("ip", "block", free_from.alias("free_from"))
     )
-    open_seconds = seconds.join(allowed, ["ip", "block"]).filter("ts >= free_from").select("ip", "block", "ts", "seq")
+    open_seconds = seconds.join(allowed, ["ip", "block"]).filter("ts >= free_from").select("ip", "block", "ts")
     ordered = open_seconds.repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +107,11 @@ def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from pick_spaced(batches, gap)
 
-    shapes = ordered.select("ip", "block", "ts").mapInArrow(tables, "ip string, block bigint, since array<bigint>, last array<bigint>")
+    shapes = ordered.mapInArrow(tables, "ip string, block bigint, since array<bigint>, last array<bigint>")
     begins = shapes.repartition("ip").sortWithinPartitions("ip", "block").mapInArrow(folded, "ip string, block bigint, last_reported bigint")
     started = open_seconds.join(begins, ["ip", "block"]).repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
-    chosen = started.mapInPandas(emitted, "ip string, ts bigint, seq bigint")
-    found = candidates.join(chosen, ["ip", "ts", "seq"], "left_semi")
+    chosen = started.mapInPandas(emitted, "ip string, ts bigint").join(seconds.select("ip", "ts", "seq"), ["ip", "ts"])
+    found = candidates.join(chosen, ["ip", "ts", "seq"], "left_semi").select(*candidates.columns)
     # A line may be a candidate twice; one of them is reported.
     return found.groupBy("ip", "ts").agg(F.min_by(F.struct(*found.columns), "seq").alias("one")).select("one.*")
 
@@ -215,7 +215,7 @@ def pick_spaced(batches: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFr
             at = first_from(groups, ts[at] + gap)
         open_key, open_last = (ips[-1], numbers[-1]), last[-1]
         rows = np.sort(np.concatenate(chosen))
-        yield batch.iloc[rows][["ip", "ts", "seq"]]
+        yield pd.DataFrame({"ip": ips[rows], "ts": ts[rows]})
 
 
 def render_reports(emitted: DataFrame, settings: Settings, mask_strings: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -34,17 +35,22 @@ class CheckResult:
 
 
 def check_lines(
-    lines: DataFrame, before: DataFrame, feed: DataFrame, config: Config, as_of: int | None = None
+    lines: DataFrame, before: DataFrame | Callable[[DataFrame, int], DataFrame], feed: DataFrame, config: Config,
+    as_of: int | None = None,
 ) -> CheckResult:
     """Match lines, fold hits into the state, choose and render reports, and decide on
     rules of changed addresses and of those whose block may have run out. The lines are
-    read once; without ``as_of``, decisions are made at the latest time seen in them."""
+    read once; without ``as_of``, decisions are made at the latest time seen in them.
+    ``before``: the state, or what looks up the rows of given addresses and of all that are
+    due at a time."""
     settings = config.settings
     seen = Observation()
     watched = lines.observe(seen, F.max("ts").alias("latest"))
     hits = written(match.match_rules(watched, config.rules))
     if as_of is None:
         as_of = seen.get["latest"] or 0
+    if callable(before):
+        before = written(before(hits.select("ip").distinct(), as_of))
     counted = written(known.known_refused(hits, before, feed))
     folded = written(state.changed_rows(before, counted, settings.multiplier, feed))
 

@@ -66,6 +66,20 @@ def _remove(tables: list[tuple[SparkSession, str]]) -> None:
             remove_folder(spark, path)
 
 
+def adopt(spark: SparkSession, path: str) -> str:
+    """Remove ``path`` with the staged tables of the owner of this moment."""
+    _owners()[-1].append((spark, path))
+    return path
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """``path``, which is there afterwards."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(place)
+    return path
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
     context = spark.sparkContext

@@ -1,10 +1,11 @@
 """The monitor (T1-T8): checks new lines batch by batch, and what is due without lines.
 
 `foreachBatch` runs the same operators as a batch job against the state the batches
-before have left. A batch may run twice; it reads the versions below its own and
-overwrites its own outputs, so nothing is counted twice. `tick` does what time brings
-about when the log is quiet: blocks run out, the feed is due, the rule template has
-changed. The two take turns.
+before have left. Every version says which batch of each writer it holds, so a batch that
+runs again after it was written does nothing; one that broke off is not seen and starts
+anew. `tick` does what time brings about when the log is quiet: blocks run out, the feed is
+due, the rule template has changed. Steps take turns, those of other programs that
+follow other logs into the same folder included.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,11 @@ from logwarden.plans.log_check import Config, check_lines, sync_feed
 from logwarden.schemas import STATE_COLUMNS
 from logwarden.settings import Settings
 from logwarden.sources.sinks import write_report_outbox
-from logwarden.sources.snapshot import current_version, load_table, write_state
-from logwarden.stage import owner, written
-from logwarden.streaming.store import state_before, write_changes
+from logwarden.sources.snapshot import current_version, load_table, write_state, written_batches
+from logwarden.stage import make_folder, owner, remove_folder, written
+from logwarden.streaming.store import state_before, state_of, write_changes
+from logwarden.streaming.turn import LostTurn, Turn
 
-TICKS = 1_000_000  # versions between two batches
 LINES = "log_group string, seq bigint, ts bigint, line string"
 
 
@@ -37,7 +39,8 @@ class Monitor:
     """``config`` is asked before every step, so changed rules apply from the next one on;
     ``feed`` gives the feed table, or ``fetch`` gets a new one when the settings' interval
     is over; ``listing`` is what the firewall itself lists; ``clock`` gives the time of a
-    batch's decisions (by default the latest time in the batch)."""
+    batch's decisions (by default the latest time in the batch). Programs that write to one
+    folder each have a ``name``; one that is silent for ``lease`` seconds loses its turn."""
 
     folder: str
     config: Callable[[SparkSession], Config]
@@ -45,47 +48,83 @@ class Monitor:
     clock: Callable[[], int] | None = None
     fetch: Callable[[SparkSession], DataFrame] | None = None
     listing: Callable[[SparkSession], DataFrame] | None = None
-    turn: threading.Lock = field(default_factory=threading.Lock, repr=False, compare=False)
+    name: str = "monitor"
+    lease: float = 900
+    thread: threading.Lock = field(default_factory=threading.Lock, repr=False, compare=False)
 
     def check(self, lines: DataFrame, batch: int) -> None:
         """One batch: state changes, reports and firewall commands are written down."""
-        as_of = self.clock() if self.clock else None
-        with self.turn, owner():
-            self._check(lines, (batch + 1) * TICKS, as_of)
+        spark, as_of = lines.sparkSession, self.clock() if self.clock else None
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # a new checkpoint counts from 0 again
+        writer = f"{self.name}/{stream}" if stream else self.name
+
+        def work(turn: Turn) -> None:
+            if written_batches(spark, f"{self.folder}/state").get(writer, -1) < batch:
+                self._check(lines, turn, as_of, {writer: batch})
+
+        self._in_turn(spark, work)
 
     def tick(self, spark: SparkSession, as_of: int) -> None:
         """What is due at ``as_of`` whether or not there are new lines."""
-        with self.turn, owner():
-            self._migrate_template(spark)
+
+        def work(turn: Turn) -> None:
+            self._migrate_template(spark, turn)
             if self.fetch:
-                self._sync(spark, as_of)
-            self._check(spark.createDataFrame([], LINES), self._next(spark), as_of)
+                self._sync(spark, turn, as_of)
+            self._check(spark.createDataFrame([], LINES), turn, as_of, {})
+
+        self._in_turn(spark, work)
 
     def reconcile(self, spark: SparkSession, as_of: int) -> None:
         """At the start: the firewall's own listing decides which addresses have a rule;
         missing rules are added, those no longer due are removed."""
-        with self.turn, owner():
+
+        def work(turn: Turn) -> None:
             settings, before = self.config(spark).settings, self.state(spark)
             parsed = firewall.parse_rules(self.listing(spark), settings.rule_template)
             unmarked = before.withColumn("has_rule", F.lit(False))
             fed = self._feed(spark).withColumn("has_rule", F.lit(False))
             planned = written(firewall.firewall_plan(unmarked, fed, parsed, settings, as_of))
             after = firewall.apply_plan(unmarked, planned).select(*STATE_COLUMNS)
-            self._write(spark, self._next(spark), before, after, planned.filter("action in ('ADD', 'REMOVE')"))
+            self._write(spark, turn, after, planned.filter("action in ('ADD', 'REMOVE')"))
+
+        self._in_turn(spark, work)
+
+    def _in_turn(self, spark: SparkSession, work: Callable[[Turn], None]) -> None:
+        """Do ``work`` alone; again, from the state as it is then, if the turn was lost meanwhile."""
+        while True:
+            with self.thread, owner(), Turn(spark, self.folder, self.lease) as turn:
+                try:
+                    return work(turn)
+                except LostTurn:
+                    continue
 
     def _next(self, spark: SparkSession) -> int:
         return (current_version(spark, f"{self.folder}/state") or 0) + 1
 
-    def _check(self, lines: DataFrame, version: int, as_of: int | None) -> None:
+    def _check(self, lines: DataFrame, turn: Turn, as_of: int | None, batches: dict[str, int]) -> None:
         spark = lines.sparkSession
-        before = state_before(spark, f"{self.folder}/state", version)
+        before = partial(state_of, spark, f"{self.folder}/state")
         result = check_lines(lines, before, self._feed(spark), self.config(spark), as_of)
-        write_report_outbox(result.reports, f"{self.folder}/outbox", version)
-        self._write(spark, version, before, result.changes, result.plan)
-
-    def _write(self, spark: SparkSession, version: int, before: DataFrame, changes: DataFrame, plan: DataFrame) -> None:
-        plan.select("ip", "ip_version", "action", "command").write.mode("overwrite").parquet(f"{self.folder}/plan/batch={version}")
-        write_changes(spark, f"{self.folder}/state", version, before, written(changes))
+        self._write(spark, turn, result.changes, result.plan, result.reports, batches)
+
+    def _write(
+        self, spark: SparkSession, turn: Turn, changes: DataFrame, plan: DataFrame,
+        reports: DataFrame | None = None, batches: dict[str, int] | None = None,
+    ) -> None:
+        """Reports and commands, then the state, which makes the step count. Where there are
+        none, nothing is written, and what a broken-off step left there goes."""
+        version = self._next(spark)
+        commands = plan.select("ip", "ip_version", "action", "command")
+        for name, table in (("outbox", reports), ("plan", commands)):
+            turn.check()
+            if table is None or table.isEmpty():
+                remove_folder(spark, f"{self.folder}/{name}/batch={version}")
+            else:
+                write_report_outbox(table, f"{self.folder}/{name}", version)
+        folder = f"{self.folder}/state"
+        done = {**written_batches(spark, folder), **(batches or {})}
+        write_changes(spark, folder, version, written(changes), done, turn.check)
 
     def _feed(self, spark: SparkSession) -> DataFrame:
         if self.feed:
@@ -95,7 +134,7 @@ class Monitor:
             return spark.createDataFrame([], schemas.FEED)
         return load_table(spark, f"{self.folder}/feed", last, "feed")
 
-    def _sync(self, spark: SparkSession, as_of: int) -> None:
+    def _sync(self, spark: SparkSession, turn: Turn, as_of: int) -> None:
         """Fetch the feed when it is due; after a failure again a little later."""
         folder, settings = f"{self.folder}/feed", self.config(spark).settings
         last = current_version(spark, folder)
@@ -115,9 +154,9 @@ class Monitor:
         write_state(folder, version, feed=written(after), feed_meta=save_feed_meta(spark, as_of, as_of))
         flips = plan.select("ip", (F.col("action") == "ADD").alias("rule_after"))
         changes = before.join(flips, "ip").withColumn("has_rule", F.col("rule_after")).select(*STATE_COLUMNS)
-        self._write(spark, self._next(spark), before, changes, plan)
+        self._write(spark, turn, changes, plan)
 
-    def _migrate_template(self, spark: SparkSession) -> None:
+    def _migrate_template(self, spark: SparkSession, turn: Turn) -> None:
         """Commands that replace every rule of the template used so far."""
         folder, new = f"{self.folder}/template", self.config(spark).settings
         last = current_version(spark, folder)
@@ -128,7 +167,7 @@ class Monitor:
             commands = template_change(self._listed(spark, before, old), old, new)
             if commands is None:
                 return
-            self._write(spark, self._next(spark), before, before.limit(0), commands)
+            self._write(spark, turn, before.limit(0), commands)
         row = spark.createDataFrame([(new.rule_template, new.append_rules)], "rule_template string, append_rules boolean")
         write_state(folder, (last or 0) + 1, template=row)
 
@@ -150,15 +189,17 @@ class Monitor:
         return state_before(spark, f"{self.folder}/state")
 
     def reports(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(schemas.REPORTS).parquet(f"{self.folder}/outbox/*")
+        return self._read(spark, "outbox", schemas.REPORTS)
 
     def report_stream(self, spark: SparkSession) -> DataFrame:
-        """Reports as they come, for a delivery query of their own."""
-        return spark.readStream.schema(schemas.REPORTS).parquet(f"{self.folder}/outbox/*")
+        """Reports as they come, for `delivery.Delivery`."""
+        return spark.readStream.schema(schemas.REPORTS).parquet(make_folder(spark, f"{self.folder}/outbox"))
 
     def commands(self, spark: SparkSession) -> DataFrame:
-        plan = "ip string, ip_version int, action string, command string"
-        return spark.read.schema(plan).option("basePath", f"{self.folder}/plan").parquet(f"{self.folder}/plan")
+        return self._read(spark, "plan", "ip string, ip_version int, action string, command string")
+
+    def _read(self, spark: SparkSession, name: str, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(make_folder(spark, f"{self.folder}/{name}"))
 
 
 def template_change(listing: DataFrame, old: Settings, new: Settings) -> DataFrame | None:

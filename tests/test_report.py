@@ -70,7 +70,7 @@ def test_tables_of_a_block_are_short():
 
 
 def test_pick_spaced_carries_over_batches():
-    whole = pd.DataFrame({"ip": ["a"] * 50 + ["b"] * 50, "ts": list(range(0, 5000, 100)) * 2, "last_reported": -900, "block": 0, "seq": 0})
+    whole = pd.DataFrame({"ip": ["a"] * 50 + ["b"] * 50, "ts": list(range(0, 5000, 100)) * 2, "last_reported": -900, "block": 0})
     once = pd.concat(rp.pick_spaced(iter([whole]), 900))
     cut = pd.concat(rp.pick_spaced(iter([whole[:3], whole[3:3], whole[3:49], whole[49:]]), 900))
     assert once.values.tolist() == cut.values.tolist()
