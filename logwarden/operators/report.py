@@ -16,6 +16,7 @@ from logwarden.functions.dates import format_epoch
 from logwarden.functions.text import mask, render_comment, report_payload, truncate_comment
 from logwarden.operators.skew import salted_join
 from logwarden.settings import REPORT_GAP_SECONDS, Settings
+from logwarden.stage import written
 
 # Report category codes and names.
 CATEGORY_NAMES = {
@@ -86,7 +87,7 @@ def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_
     if block < gap:
         raise ValueError("a block is at least as long as the gap")
     number = F.floor(F.col("ts") / block)
-    seconds = candidates.groupBy("ip", "ts").agg(F.min("seq").alias("seq")).withColumn("block", number)
+    seconds = written(candidates.groupBy("ip", "ts").agg(F.min("seq").alias("seq")).withColumn("block", number))
     # Nothing before a stored report's gap is over can be chosen, so the first block that is left begins free.
     free_from = F.when(F.col("last_reported").isNotNull(), F.col("last_reported") + gap).otherwise(F.lit(gap))
     allowed = (

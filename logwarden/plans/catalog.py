@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import partial
 
@@ -16,7 +17,8 @@ from logwarden.plans import demo, log_check
 from logwarden.plans.demo import AS_OF, table
 from logwarden.settings import Settings
 from logwarden.sources import config_file, logs, reputation, state_file
-from logwarden.stage import shared_folder, written
+from logwarden.stage import adopt, shared_folder, written
+from logwarden.streaming.delivery import Delivery
 from logwarden.streaming.monitor import Monitor
 
 SETTINGS = Settings(report_all=True, default_comment="%d %i port %p: %m")
@@ -758,9 +760,14 @@ def report_responses(spark, sf_dir):
 # -- streaming -----------------------------------------------------------------------
 
 
+def _folder(spark, name):
+    """A folder of its own in the shared one, removed with the staged tables."""
+    return adopt(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def monitor_state(spark, sf_dir):
     """The monitor follows the events as a stream; its state ends up as in a batch."""
-    folder = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
+    folder = _folder(spark, "monitor")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
@@ -771,7 +778,7 @@ def monitor_state(spark, sf_dir):
 
 def _quiet_monitor(spark, sf_dir, **given):
     """A monitor that has read all events, with rules at the time of the last of them."""
-    folder = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
+    folder = _folder(spark, "monitor")
     config = partial(log_check.Config, groups=demo_groups(spark))
     box = {"settings": SETTINGS}
     monitor = Monitor(folder, lambda session: config(demo_rules(session), settings=box["settings"]), **given)
@@ -816,7 +823,7 @@ def monitor_template(spark, sf_dir):
 def stream_equals_batch(spark, sf_dir):
     """Ten files of events in order of time, one for each batch, with a new start of the
     stream in the middle: the state ends up as in one batch."""
-    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    folder = _folder(spark, "events")
     events = table(spark, sf_dir, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     place = F.least(F.floor((fn.epoch_seconds("ts") - int(low.timestamp())) * 10 / (int(high.timestamp()) - int(low.timestamp()) + 1)), F.lit(9))
@@ -831,6 +838,56 @@ def stream_equals_batch(spark, sf_dir):
     return monitor.state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
 
 
+def two_writers(spark, sf_dir):
+    """Two monitors on one folder, each with the lines of every other address, at the same time:
+    nothing that either writes is lost."""
+    folder = _folder(spark, "monitor")
+    config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
+    lines = written(demo.log_lines(spark, sf_dir))
+    half = F.pmod(F.xxhash64(F.regexp_extract("line", r"(?:SRC=|from |FROM |^)([0-9A-F:.]{7,})", 1)), F.lit(2))
+    monitors = [Monitor(folder, lambda session: config(demo_rules(session)), name=name) for name in ("one", "two")]
+    middle = lines.select(F.percentile_approx("ts", 0.5)).first()[0]
+
+    def follow(k):
+        mine = lines.filter(half == k)
+        monitors[k].check(mine.filter(F.col("ts") < middle), 0)
+        monitors[k].check(mine.filter(F.col("ts") >= middle), 1)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(follow, range(2)))
+    return monitors[0].state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
+
+
+def monitor_reconcile(spark, sf_dir):
+    """At a start, the firewall lists rules of its own: every third user, due or not, and
+    addresses that nothing is known of."""
+    monitor, _ = _quiet_monitor(spark, sf_dir, listing=lambda session: demo.firewall_listing(session, sf_dir))
+    monitor.reconcile(spark, AS_OF)
+    return monitor.state(spark).select("ip", "has_rule")
+
+
+def report_delivery(spark, sf_dir):
+    """Reports go out in three batches in order of time; some answers order a pause of an hour;
+    the first batch comes once more."""
+    folder = _folder(spark, "delivery")
+    reports = written(report.render_reports(emitted(spark, sf_dir), SETTINGS))
+    low, high = table(spark, sf_dir, "events").agg(fn.epoch_seconds(F.min("ts")), fn.epoch_seconds(F.max("ts"))).first()
+    place = F.floor((F.col("ts") - low) * 3 / (high - low + 1))
+
+    def send(rows):
+        busy = F.col("ts") % 50 == 0
+        return rows.select(
+            "ip", "ts", F.when(busy, 429).otherwise(200).alias("status"), F.when(busy, "Retry-After: 3600").otherwise("").alias("headers"),
+            F.when(busy, "").otherwise('{"data": {"ipAddress": "x"}}').alias("body"),
+        )
+
+    delivery = Delivery(folder, send)
+    for batch, k in enumerate((0, 1, 2, 0)):
+        for _ in range(2):  # the second time it is there already
+            delivery.deliver(reports.filter(place == k), batch)
+    return delivery.outcomes(spark).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("ip", "ts").alias("reports"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -850,6 +907,6 @@ QUERIES = {
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,
         feed_read, feed_read_time, checks_read, check_reports, report_responses,
-        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch,
+        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, two_writers, monitor_reconcile, report_delivery,
     )
 }

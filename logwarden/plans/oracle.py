@@ -525,6 +525,23 @@ ORACLE = {
         SELECT ip, 'REMOVE', tool || ' -D INPUT -s ' || ip || ' -j DROP' FROM blocked UNION ALL
         SELECT ip, 'ADD', tool || ' -I INPUT 1 -s ' || ip || ' -j REJECT' FROM blocked""",
     "monitor_feed_sync": f"""WITH {FEEDS} SELECT ip, confidence, confidence >= 90 AS has_rule, 2 AS fetches FROM new_feed""",
+    "two_writers": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
+    "monitor_reconcile": f"""{STATE}, listed AS (SELECT DISTINCT ip FROM ev WHERE user_id % 3 = 0 AND user_id % 7 <> 0)
+        SELECT ip, CASE WHEN ip IN (SELECT ip FROM listed) THEN {AS_OF} <= last_activity + score
+          ELSE score > 0 AND {OVER} END AS has_rule FROM state""",
+    "report_delivery": f"""{chosen_sql()}, r AS (SELECT DISTINCT ip, ts FROM emitted),
+        span AS (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS low, CAST(floor(epoch(max(ts))) AS BIGINT) AS high FROM events),
+        busy AS (SELECT ts, min(ip) AS ip FROM r WHERE ts % 50 = 0 GROUP BY ts),
+        pauses AS (SELECT min(ts) AS ts FROM busy UNION ALL
+          SELECT (SELECT min(b.ts) FROM busy b WHERE b.ts >= p.ts + 3600) FROM pauses p WHERE p.ts IS NOT NULL),
+        begun AS (SELECT ts, ip FROM pauses JOIN busy USING (ts)),
+        first_time AS (SELECT ip, ts, CASE WHEN EXISTS (SELECT 1 FROM begun b
+              WHERE b.ts < r.ts AND r.ts < b.ts + 3600 OR b.ts = r.ts AND r.ip > b.ip) THEN 'paused'
+            WHEN ts % 50 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM r),
+        again AS (SELECT ip, ts, CASE WHEN outcome = 'ok' THEN 'repeated' ELSE 'paused' END AS outcome FROM first_time, span
+          WHERE (ts - low) * 3 < high - low + 1)
+        SELECT outcome, count(*) AS n, count(DISTINCT (ip, ts)) AS reports
+        FROM (SELECT * FROM first_time UNION ALL SELECT * FROM again) GROUP BY outcome""",
     "monitor_state": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
     "report_responses": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'ok' WHEN 3 THEN 'rejected'
           ELSE 'unreadable' END AS outcome,
