@@ -16,7 +16,7 @@ from logwarden.operators import block, feed, firewall, known, match, report, rul
 from logwarden.plans import demo, log_check
 from logwarden.plans.demo import AS_OF, table
 from logwarden.settings import Settings
-from logwarden.sources import config_file, logs, reputation, state_file
+from logwarden.sources import config_file, logs, reputation, state_file, tail
 from logwarden.stage import adopt, shared_folder, written
 from logwarden.streaming.delivery import Delivery
 from logwarden.streaming.monitor import Monitor
@@ -757,14 +757,46 @@ def report_responses(spark, sf_dir):
     )
 
 
-# -- streaming -----------------------------------------------------------------------
-
-
 def _folder(spark, name):
     """A folder of its own in the shared one, removed with the staged tables."""
     return adopt(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+def _log_files(spark, sf_dir):
+    """The lines as text files, a folder of them for one group and names that a glob fits for
+    the other, beside files that it does not fit; and the configuration that names both."""
+    folder, lines = _folder(spark, "logs"), written(demo.log_lines(spark, sf_dir))
+    for group in demo.GROUPS:
+        lines.filter(F.col("log_group") == group).select("line").write.option("lineSep", "\n").text(f"{folder}/{group}")
+    lines.limit(1).select("line").write.text(f"{folder}/other")
+    entries = [("OpenSSH", 0, 0, f"{folder}/OpenSSH"), ("ApacheAccess", 1, 0, f"{folder}/Apache*/part-*.t[x]{{t,u}}"), ("OpenSSH", 0, 1, f"{folder}/none")]
+    return spark.createDataFrame(entries, schemas.FILES)
+
+
+def scan_files(spark, sf_dir):
+    """Every line of a folder and of a glob."""
+    return logs.scan_logs(spark, _log_files(spark, sf_dir), F.lit(7).cast("bigint")).select("log_group", "group_idx", "ts", "line")
+
+
+def tail_files(spark, sf_dir):
+    """Each file up to a line near its middle, then on from the bookmark left there."""
+    files, ts = _log_files(spark, sf_dir), F.lit(7).cast("bigint")
+    nothing = spark.createDataFrame([], schemas.BOOKMARKS)
+    first = written(tail.tail_logs(spark, files, nothing, ts))
+    sizes = logs.list_logs(spark, files).select("path", F.col("length").alias("size"))
+    marks = first.join(sizes, "path").filter(F.col("end_offset") * 2 <= F.col("size")).groupBy("path", "size").agg(
+        F.max("end_offset").alias("bookmark")
+    ).select("path", "bookmark", "size")
+    marks = written(marks)
+    before = first.join(marks, "path").filter(F.col("end_offset") <= F.col("bookmark"))
+    after = tail.tail_logs(spark, files, marks, ts)
+    columns = ["log_group", "group_idx", "ts", "line"]
+    return before.select(*columns).unionByName(after.select(*columns))
+
+
+# -- streaming -----------------------------------------------------------------------
+
+
 def monitor_state(spark, sf_dir):
     """The monitor follows the events as a stream; its state ends up as in a batch."""
     folder = _folder(spark, "monitor")
@@ -907,6 +939,6 @@ QUERIES = {
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,
         feed_read, feed_read_time, checks_read, check_reports, report_responses,
-        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, two_writers, monitor_reconcile, report_delivery,
+        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, two_writers, monitor_reconcile, report_delivery, scan_files, tail_files,
     )
 }

@@ -525,6 +525,10 @@ ORACLE = {
         SELECT ip, 'REMOVE', tool || ' -D INPUT -s ' || ip || ' -j DROP' FROM blocked UNION ALL
         SELECT ip, 'ADD', tool || ' -I INPUT 1 -s ' || ip || ' -j REJECT' FROM blocked""",
     "monitor_feed_sync": f"""WITH {FEEDS} SELECT ip, confidence, confidence >= 90 AS has_rule, 2 AS fetches FROM new_feed""",
+    "scan_files": f"""WITH {LINES} SELECT log_group, CAST(CASE log_group WHEN 'OpenSSH' THEN 0 ELSE 1 END AS INTEGER) AS group_idx,
+        CAST(7 AS BIGINT) AS ts, line FROM log_lines""",
+    "tail_files": f"""WITH {LINES} SELECT log_group, CAST(CASE log_group WHEN 'OpenSSH' THEN 0 ELSE 1 END AS INTEGER) AS group_idx,
+        CAST(7 AS BIGINT) AS ts, line FROM log_lines""",
     "two_writers": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
     "monitor_reconcile": f"""{STATE}, listed AS (SELECT DISTINCT ip FROM ev WHERE user_id % 3 = 0 AND user_id % 7 <> 0)
         SELECT ip, CASE WHEN ip IN (SELECT ip FROM listed) THEN {AS_OF} <= last_activity + score

@@ -1,11 +1,11 @@
-"""Log files: full scans, bookmarks and rotation."""
+"""Log files: full scans, bookmarks and rotation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.sources.files import file_length
+from logwarden.sources.files import places_of
 
 
 def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -32,37 +32,46 @@ def local_path(uri: Column) -> Column:
     return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
-def existing_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Configured files that are there, with their length; the rest is skipped."""
-    return files.join(list_files(spark, paths_of(files)), "path")
+def _configured(files: DataFrame) -> list[str]:
+    """Configured paths; the list is as long as the configuration."""
+    return [r["path"] for r in files.select("path").distinct().collect()]
 
 
-def missing_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Configured files that cannot be found."""
-    return files.join(list_files(spark, paths_of(files)), "path", "left_anti")
+def list_logs(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``log_group, group_idx, file_idx, entry, path, length`` of all files that the configured
+    paths (``entry``: a file, a folder or a glob) stand for; what is not there is skipped.
+    Contents are not read. Names that begin with a dot or an underscore do not count in folders."""
+    roots, owners = places_of(spark, _configured(files))
+    if not roots:
+        return files.limit(0).withColumn("entry", F.col("path")).withColumn("length", F.lit(0).cast("bigint")).select(*LISTED)
+    found = spark.read.format("binaryFile").load(roots).select(
+        local_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("length")
+    ).distinct()
+    folder, name = F.regexp_replace("path", "/[^/]*$", ""), F.substring_index("path", "/", -1)
+    table = spark.createDataFrame(owners, "entry string, folder string, names string")
+    fits = F.rlike(name, F.concat(F.lit("^(?:"), F.col("names"), F.lit(")$")))
+    whose = found.withColumn("folder", folder).join(table, "folder").filter(fits)
+    return whose.select("entry", "path", "length").distinct().join(files.withColumnRenamed("path", "entry"), "entry").select(*LISTED)
 
 
-def paths_of(files: DataFrame) -> list[str]:
-    """Configured paths; the list is as long as the configuration."""
-    return [r["path"] for r in files.select("path").distinct().collect()]
+LISTED = ["log_group", "group_idx", "file_idx", "entry", "path", "length"]
 
 
-def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, length`` of those of the files that exist. Contents are not read."""
-    lengths = ((p, file_length(p)) for p in sorted(set(paths)))
-    return spark.createDataFrame([x for x in lengths if x[1] is not None], "path string, length bigint")
+def missing_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Configured paths that stand for no file."""
+    return files.join(list_logs(spark, files).select(F.col("entry").alias("path")), "path", "left_anti")
 
 
 def scan_logs(spark: SparkSession, files: DataFrame, ts: Column) -> DataFrame:
     """All lines of all configured files: ``log_group, group_idx, path, seq, ts, line``. Files are
-    ordered by group, then by place in the group. ``ts`` is the activity time to give
-    the lines (epoch seconds): reading time, or parsed from ``line``."""
-    there = existing_files(spark, files).select("log_group", "group_idx", "file_idx", "path")
-    paths = paths_of(there)
-    found = text_lines(spark, paths) if paths else spark.createDataFrame(
+    ordered by group, then by place in the group, then by name. ``ts`` is the activity time to
+    give the lines (epoch seconds): reading time, or parsed from ``line``."""
+    roots, _ = places_of(spark, _configured(files))
+    found = text_lines(spark, roots) if roots else spark.createDataFrame(
         [], "path string, seq struct<split: bigint, row: bigint>, line string"
     )
-    order = F.struct("group_idx", "file_idx", F.col("seq.split").alias("split"), F.col("seq.row").alias("row"))
+    there = list_logs(spark, files)
+    order = F.struct("group_idx", "file_idx", "path", F.col("seq.split").alias("split"), F.col("seq.row").alias("row"))
     return found.join(there, "path").select(
         "log_group", "group_idx", "path", order.alias("seq"), ts.alias("ts"), "line"
     )
@@ -109,11 +118,3 @@ def reconcile_bookmarks(files: DataFrame, bookmarks: DataFrame) -> DataFrame:
 def dropped_bookmarks(files: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """Bookmarks of files that are no longer configured."""
     return bookmarks.join(files.select("path"), "path", "left_anti")
-
-
-def union_lines(*parts: DataFrame) -> DataFrame:
-    """Lines of several groups as one table."""
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
