@@ -40,20 +40,76 @@ def epoch_seconds(ts) -> Column:
     return F.unix_seconds(as_column(ts).cast("timestamp"))
 
 
-def strftime_to_spark(fmt: str) -> str:
-    """The Spark datetime pattern that prints what strftime would."""
-    pattern, literal = "", ""
-    chars = iter(fmt)
-    for char in chars:
-        code = next(chars, "") if char == "%" else ""
-        if code in STRFTIME_CODES:
+# Codes that stand for several others.
+COMPOSED = {"c": "%a %b %e %H:%M:%S %Y", "x": "%m/%d/%y", "X": "%H:%M:%S", "r": "%I:%M:%S %p"}
+
+
+def _padded(number: Column, width: int, fill: str = "0") -> Column:
+    return F.lpad(number.cast("string"), width, fill)
+
+
+def _computed(code: str, stamp: Column) -> Column | None:
+    """Codes that Spark has no pattern letter for: weeks, numbers of days, blank padding."""
+    weekday = F.dayofweek(stamp) - 1  # Sunday is 0
+    iso_year = F.date_part(F.lit("YEAROFWEEK"), stamp)
+    day = F.dayofyear(stamp) - 1
+    values = {
+        "U": lambda: _padded(F.floor((day + 7 - weekday) / 7), 2),
+        "W": lambda: _padded(F.floor((day + 7 - (weekday + 6) % 7) / 7), 2),
+        "V": lambda: _padded(F.weekofyear(stamp), 2),
+        "G": lambda: _padded(iso_year, 4),
+        "g": lambda: _padded(iso_year % 100, 2),
+        "u": lambda: ((weekday + 6) % 7 + 1).cast("string"),
+        "w": lambda: weekday.cast("string"),
+        "e": lambda: _padded(F.dayofmonth(stamp), 2, " "),
+        "k": lambda: _padded(F.hour(stamp), 2, " "),
+        "l": lambda: _padded((F.hour(stamp) + 11) % 12 + 1, 2, " "),
+        "s": lambda: F.unix_seconds(stamp).cast("string"),
+        "C": lambda: _padded(F.floor(F.year(stamp) / 100), 2),
+        "P": lambda: F.lower(F.date_format(stamp, "a")),
+    }
+    return values[code]() if code in values else None
+
+
+def strftime(stamp: Column, fmt: str) -> Column:
+    """A timestamp printed with a strftime format. ``%E`` and ``%O`` do not change the code they
+    stand before; codes that do not exist come out as they are."""
+    parts: list[Column] = []
+    pattern = ""
+
+    def flush() -> None:
+        nonlocal pattern
+        if pattern:
+            parts.append(F.date_format(stamp, pattern))
+        pattern = ""
+
+    pending = list(fmt)
+    literal = ""
+    while pending:
+        char = pending.pop(0)
+        if char != "%" or not pending:
+            literal += char
+            continue
+        code = pending.pop(0)
+        if code in "EO" and pending and pending[0].isalpha():
+            code = pending.pop(0)
+        if code in COMPOSED:
+            pending[:0] = COMPOSED[code]
+        elif code in STRFTIME_CODES:
             pattern += _quoted(literal) + STRFTIME_CODES[code]
             literal = ""
-        elif char == "%":
-            literal += {"%": "%", "n": "\n", "t": "\t"}.get(code, "%" + code)
+        elif (value := _computed(code, stamp)) is not None:
+            pattern += _quoted(literal)
+            literal = ""
+            flush()
+            parts.append(value)
         else:
-            literal += char
-    return pattern + _quoted(literal)
+            literal += {"%": "%", "n": "\n", "t": "\t"}.get(code, "%" + code)
+    pattern += _quoted(literal)
+    flush()
+    if not parts:
+        return F.lit("")
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def _quoted(literal: str) -> str:
@@ -62,8 +118,7 @@ def _quoted(literal: str) -> str:
 
 def format_epoch(seconds, fmt: str) -> Column:
     """Epoch seconds printed with a strftime format, at most 29 characters."""
-    stamp = F.timestamp_seconds(as_column(seconds))
-    return F.left(F.date_format(stamp, strftime_to_spark(fmt)), F.lit(FORMATTED_LIMIT))
+    return F.left(strftime(F.timestamp_seconds(as_column(seconds)), fmt), F.lit(FORMATTED_LIMIT))
 
 
 def parse_offset_ts(text) -> Column:

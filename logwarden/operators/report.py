@@ -46,6 +46,7 @@ CATEGORY_NAMES = {
 COVER_SECONDS = 3600
 BLOCK_SECONDS = 86_400
 LONG_AGO = -(1 << 62)
+MASK_LIMIT = 10_000
 
 
 def report_settings(hits: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -219,8 +220,12 @@ def pick_spaced(batches: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"ip": ips[rows], "ts": ts[rows]})
 
 
-def render_reports(emitted: DataFrame, settings: Settings, mask_strings: Column | None = None) -> DataFrame:
-    """``ip, ts, categories, comment``: placeholders filled, cut to the limit, masked."""
+def render_reports(emitted: DataFrame, settings: Settings, mask_strings: Column | DataFrame | None = None) -> DataFrame:
+    """``ip, ts, categories, comment``: placeholders filled, cut to the limit, masked.
+    ``mask_strings``: an array, or a table as from `mask_list`."""
+    if isinstance(mask_strings, DataFrame):
+        emitted = emitted.withColumn("\x01masks", mask_array(mask_strings))
+        mask_strings = F.col("\x01masks")
     comment = truncate_comment(
         render_comment(
             F.col("comment"), F.col("ip"), F.col("port"), F.col("line"), format_epoch("ts", settings.date_format)
@@ -243,12 +248,20 @@ def with_payload(reports: DataFrame) -> DataFrame:
 
 
 def mask_list(hosts: DataFrame) -> DataFrame:
-    """``text`` to mask: host names, their first label, addresses without zone. Input is
-    a table ``host, addr`` (either may be NULL)."""
-    pieces = F.array_compact(
-        F.array("host", F.substring_index("host", ".", 1), F.substring_index("addr", "%", 1))
-    )
-    return hosts.select(F.explode(pieces).alias("text")).filter("text <> ''").distinct()
+    """``text`` to mask and its ``place``: host names, then their first labels, then addresses
+    without zone, so that a whole name goes before a part of it. Input is a table ``host, addr``
+    (either may be NULL)."""
+    texts = F.array("host", F.substring_index("host", ".", 1), F.substring_index("addr", "%", 1))
+    pieces = hosts.select(F.posexplode(texts).alias("place", "text"))
+    return pieces.filter("text <> ''").groupBy("text").agg(F.min("place").alias("place"))
+
+
+def mask_array(masks: DataFrame) -> Column:
+    """The texts of `mask_list` in order, as one array for all rows of another table. They are
+    one machine's names and addresses: more than ``MASK_LIMIT`` are refused."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    many = F.raise_error(F.lit(f"more than {MASK_LIMIT} texts to mask")).cast("array<string>")
+    return masks.agg(F.when(F.count("*") > MASK_LIMIT, many).otherwise(listed)).scalar()
 
 
 def suppress_rate_limited(reports: DataFrame, responses: DataFrame) -> DataFrame:

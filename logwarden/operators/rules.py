@@ -66,15 +66,12 @@ def _groups_before(position: Column) -> Column:
 
 def rule_problems(rules: DataFrame) -> DataFrame:
     """Rules that cannot be used, with the reason: no ``%i``, or a pattern that the engine
-    which runs it does not compile."""
-    spark = rules.sparkSession
-    found = ((r, _compile_error(spark, r["regex"])) for r in compile_rules(rules).collect())
-    bad = [(r["log_group"], r["group_idx"], r["kind"], r["rule_idx"], error) for r, error in found if error]
-    key = "log_group string, group_idx int, kind string, rule_idx int"
-    broken = spark.createDataFrame(bad, f"{key}, error string")
-    missing = rules.filter(F.locate("%i", "pattern") == 0).select(
-        "log_group", "group_idx", "kind", "rule_idx", F.lit("no address placeholder in pattern").alias("error")
-    )
+    which runs it does not compile (:func:`compile_error` says why). Patterns are compiled where
+    their rows are."""
+    key = ["log_group", "group_idx", "kind", "rule_idx"]
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("regex"), F.lit(2))
+    broken = compile_rules(rules).filter(compiled.isNull()).select(*key, F.lit("pattern does not compile").alias("error"))
+    missing = rules.filter(F.locate("%i", "pattern") == 0).select(*key, F.lit("no address placeholder in pattern").alias("error"))
     return missing.unionByName(broken)
 
 
@@ -82,10 +79,10 @@ def usable_rules(rules: DataFrame) -> list:
     """Compiled rules in matching order, on the driver: they become column
     expressions, so the list is as long as the rule configuration."""
     compiled = compile_rules(rules).orderBy("group_idx", "log_group", "kind", "rule_idx").collect()
-    return [r for r in compiled if _compile_error(rules.sparkSession, r["regex"]) is None]
+    return [r for r in compiled if compile_error(rules.sparkSession, r["regex"]) is None]
 
 
-def _compile_error(spark: SparkSession, regex: str) -> str | None:
+def compile_error(spark: SparkSession, regex: str) -> str | None:
     """What Java, which runs the rules, has against a pattern."""
     try:
         spark._jvm.java.util.regex.Pattern.compile(regex, 2)

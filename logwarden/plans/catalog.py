@@ -16,7 +16,8 @@ from logwarden.operators import block, feed, firewall, known, match, report, rul
 from logwarden.plans import demo, log_check
 from logwarden.plans.demo import AS_OF, table
 from logwarden.settings import Settings
-from logwarden.sources import config_file, logs, reputation, state_file, tail
+from logwarden.sources import config_file, logs, reputation, sinks, state_file, tail
+from logwarden.sources.firewall_rules import read_firewall_rules
 from logwarden.stage import adopt, shared_folder, written
 from logwarden.streaming.delivery import Delivery
 from logwarden.streaming.monitor import Monitor
@@ -362,8 +363,12 @@ def throttle(spark, sf_dir):
 
 
 def rendered_reports(spark, sf_dir):
-    secret = F.array(F.lit("somehost"), F.lit("10.9.9.9"))
-    reports = report.render_reports(emitted(spark, sf_dir), SETTINGS, secret)
+    key = F.col("n_nationkey")
+    hosts = table(spark, sf_dir, "nation").select(
+        F.when(key == 0, "somehost.example.org").otherwise(F.concat(F.lower(F.col("n_name")), F.lit(".test"))).alias("host"),
+        F.when(key == 1, "10.9.9.9%eth0").otherwise(F.concat(F.lit("fe80::"), F.hex(key), F.lit("%eth1"))).alias("addr"),
+    )
+    reports = report.render_reports(emitted(spark, sf_dir), SETTINGS, report.mask_list(hosts))
     return report.with_payload(reports).select("ip", "ts", "comment", "payload")
 
 
@@ -394,7 +399,7 @@ def mask_list(spark, sf_dir):
         F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))), F.when(F.col("s_suppkey") % 2 == 0, ".example.org").otherwise("")).alias("host"),
         F.concat(F.lit("fe80::"), F.lower(F.hex(F.col("s_suppkey") + 1)), F.lit("%eth0")).alias("addr"),
     )
-    return report.mask_list(hosts)
+    return report.mask_list(hosts).select("text")
 
 
 def comment_rendering(spark, sf_dir):
@@ -445,6 +450,9 @@ def format_epoch(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id", fn.format_epoch(seconds, "%Y-%m-%d %H:%M:%S").alias("standard"),
         fn.format_epoch(seconds, "%d/%m/%y at %H o'clock").alias("other"),
+        fn.format_epoch(seconds, "%U %W %V %G %u %w %g %C").alias("weeks"),
+        fn.format_epoch(seconds, "%e|%k|%l|%s|%P").alias("padded"), fn.format_epoch(seconds, "%x %X %Od").alias("composed"),
+        fn.format_epoch(seconds, "%c").alias("whole"),
     )
 
 
@@ -794,6 +802,30 @@ def tail_files(spark, sf_dir):
     return before.select(*columns).unionByName(after.select(*columns))
 
 
+def outbox_files(spark, sf_dir):
+    """Reports put out in two batches, the second of them twice, and read back."""
+    folder = _folder(spark, "outbox")
+    reports = written(report.render_reports(emitted(spark, sf_dir), SETTINGS))
+    for batch in (0, 1, 1):
+        sinks.write_report_outbox(reports.filter(F.col("ts") % 2 == batch), folder, batch)
+    return spark.read.schema(schemas.REPORTS).parquet(folder).select("ip", "ts", "comment")
+
+
+def plan_files(spark, sf_dir):
+    """Commands of a plan, written as text and read back."""
+    folder = _folder(spark, "plan")
+    sinks.write_firewall_plan(firewall_plan(spark, sf_dir), folder)
+    return spark.read.text(folder).select(F.col("value").alias("command"))
+
+
+def listing_files(spark, sf_dir):
+    """Listings of both address families as text files, read back as one."""
+    folder, listing = _folder(spark, "listing"), written(demo.firewall_listing(spark, sf_dir))
+    for version in (4, 6):
+        listing.filter(F.col("ip_version") == version).select("line").write.text(f"{folder}/v{version}")
+    return read_firewall_rules(spark, f"{folder}/v4", f"{folder}/v6").select("ip_version", "line")
+
+
 # -- streaming -----------------------------------------------------------------------
 
 
@@ -939,6 +971,6 @@ QUERIES = {
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,
         feed_read, feed_read_time, checks_read, check_reports, report_responses,
-        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, two_writers, monitor_reconcile, report_delivery, scan_files, tail_files,
+        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, two_writers, monitor_reconcile, report_delivery, scan_files, tail_files, outbox_files, plan_files, listing_files,
     )
 }

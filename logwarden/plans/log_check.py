@@ -22,7 +22,7 @@ class Config:
     rules: DataFrame
     groups: DataFrame
     settings: Settings
-    mask_strings: Column | None = None
+    mask_strings: Column | DataFrame | None = None
 
 
 @dataclass(frozen=True)

@@ -307,6 +307,8 @@ RENDERED = f"""{_rendered()}, done AS (
   SELECT ip, ts, categories, replace(replace(left(c, 1500), 'somehost', '********'), '10.9.9.9', '********') AS comment FROM r4)
   SELECT ip, ts, comment, 'categories=' || categories || '&comment=' || {url_sql('comment')} || '&ip=' || ip AS payload FROM done"""
 
+RENDERED_PLAIN = f"{_rendered()} SELECT ip, ts, left(c, 1500) AS comment FROM r4"
+
 DOC_RENDERED = r"""WITH r0 AS (
     SELECT doc_id, text, '10.0.0.' || (doc_id % 250) AS ip, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS port,
       strftime(make_timestamp(doc_id * 86461 * 1000000), '%Y/%m/%d %H:%M') AS now, '%i:%p %m | %d %i ' || source AS c FROM documents),
@@ -457,7 +459,12 @@ ORACLE = {
           CASE WHEN regexp_matches(x, '[^ \t\n\r]') THEN rtrim(x, chr(32) || chr(9) || chr(10) || chr(13)) ELSE x END AS right_done,
           lower(lang) AS lang FROM t""",
     "format_epoch": """SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS standard,
-        strftime(date_trunc('second', ts), '%d/%m/%y at %H o''clock') AS other FROM events""",
+        strftime(date_trunc('second', ts), '%d/%m/%y at %H o''clock') AS other,
+        strftime(ts, '%U %W %V %G %u %w ') || right(strftime(ts, '%G'), 2) || ' ' || left(strftime(ts, '%Y'), 2) AS weeks,
+        lpad(strftime(ts, '%-d'), 2, ' ') || '|' || lpad(strftime(ts, '%-H'), 2, ' ') || '|' || lpad(strftime(ts, '%-I'), 2, ' ') || '|'
+          || CAST(floor(epoch(ts)) AS BIGINT) || '|' || lower(strftime(ts, '%p')) AS padded,
+        strftime(ts, '%m/%d/%y %H:%M:%S %d') AS composed,
+        strftime(ts, '%a %b ') || lpad(strftime(ts, '%-d'), 2, ' ') || strftime(ts, ' %H:%M:%S %Y') AS whole FROM events""",
     "offset_times": f"""WITH {EV} SELECT seq AS event_id, ts - CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END * (seq % 13 * 3600 + 1800) AS seconds FROM ev""",
     "headers": """SELECT event_id, 3 AS n, CAST(event_id % 900 AS VARCHAR) AS retry_after, event_type AS x_type FROM events""",
     "categories": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 30 AS VARCHAR)
@@ -525,6 +532,9 @@ ORACLE = {
         SELECT ip, 'REMOVE', tool || ' -D INPUT -s ' || ip || ' -j DROP' FROM blocked UNION ALL
         SELECT ip, 'ADD', tool || ' -I INPUT 1 -s ' || ip || ' -j REJECT' FROM blocked""",
     "monitor_feed_sync": f"""WITH {FEEDS} SELECT ip, confidence, confidence >= 90 AS has_rule, 2 AS fetches FROM new_feed""",
+    "outbox_files": f"SELECT ip, ts, comment FROM ({RENDERED_PLAIN})",
+    "plan_files": f"SELECT command FROM ({PLAN}) WHERE command IS NOT NULL",
+    "listing_files": f"WITH {LISTING} SELECT CAST(ip_version AS INTEGER) AS ip_version, line FROM listing",
     "scan_files": f"""WITH {LINES} SELECT log_group, CAST(CASE log_group WHEN 'OpenSSH' THEN 0 ELSE 1 END AS INTEGER) AS group_idx,
         CAST(7 AS BIGINT) AS ts, line FROM log_lines""",
     "tail_files": f"""WITH {LINES} SELECT log_group, CAST(CASE log_group WHEN 'OpenSSH' THEN 0 ELSE 1 END AS INTEGER) AS group_idx,

@@ -116,16 +116,6 @@ def duplicate_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ip").agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
-def fix_list_conflict(state: DataFrame) -> DataFrame:
-    """An address on both lists stays on the allow list only."""
-    return state.withColumn("blacklisted", F.col("blacklisted") & ~F.col("whitelisted"))
-
-
-def upgrade_state(rows: DataFrame) -> DataFrame:
-    """Fill in a missing version from the address."""
-    return rows.withColumn("ip_version", F.coalesce("ip_version", ip_version("ip")))
-
-
 def state_load_report(lines: DataFrame) -> DataFrame:
     """One row: records per kind, surplus copies, whether the old row layout occurs and
     whether the file is worth rewriting."""

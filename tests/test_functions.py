@@ -1,3 +1,4 @@
+import time
 import random
 import socket
 
@@ -71,6 +72,10 @@ def test_trim(spark):
 def test_format_epoch(spark):
     assert column(spark, [0, 1558368002], fn.format_epoch("x", "%Y-%m-%d %H:%M:%S"), "long") == [
         "1970-01-01 00:00:00", "2019-05-20 16:00:02"]
+    for fmt in ("%U %W %V %G %g", "%u %w %e|%k|%l", "%s %C %P", "%c", "%x %X", "%r %Od %Ey", "%", "", "%%Y"):
+        times = [0, 951782400, 1104537599, 1230768000, 1293883199, 1735542245, 1325376000 - 86400]
+        want = [time.strftime(fmt, time.gmtime(t))[:29] if fmt else "" for t in times]
+        assert column(spark, times, fn.format_epoch("x", fmt), "long") == [w.replace("%s", str(t)) for w, t in zip(want, times)], fmt
     assert column(spark, [0], fn.format_epoch("x", "%d/%b/%Y at o'clock %H%%"), "long") == ["01/Jan/1970 at o'clock 00%"]
     assert column(spark, [0], fn.format_epoch("x", "%Y-%m-%dT%H:%M:%S%z and more text"), "long") == [
         "1970-01-01T00:00:00+0000 and more text"[:29]]

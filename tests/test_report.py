@@ -2,8 +2,10 @@ import random
 
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from logwarden import Settings
 from logwarden.operators import report as rp
 from logwarden.schemas import STATE
 
@@ -100,3 +102,20 @@ def test_not_whitelisted(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "ip string, ts long")
     assert [r["ip"] for r in rp.not_whitelisted(rows, state).collect()] == ["b"]
     assert rp.mark_reported(state, rows).filter(F.col("last_reported") == 1).count() == 1
+
+
+def test_masks_from_a_table_whole_names_first(spark):
+    hosts = spark.createDataFrame([("web1.example.org", "10.0.0.1"), (None, "fe80::1%eth0"), ("db", None)], "host string, addr string")
+    rows = [("1.1.1.1", 0, [1], "web1.example.org web1 db fe80::1 10.0.0.12", None, None)]
+    emitted = spark.createDataFrame(rows, "ip string, ts long, categories array<int>, comment string, port int, line string")
+    got = rp.render_reports(emitted, Settings(), rp.mask_list(hosts)).first()["comment"]
+    assert got == f"{'*' * 16} {'*' * 4} {'*' * 2} {'*' * 7} {'*' * 8}2"
+    none = rp.render_reports(emitted, Settings(), rp.mask_list(hosts.limit(0))).first()["comment"]
+    assert none == rows[0][3]
+
+
+def test_too_many_masks_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(rp, "MASK_LIMIT", 2)
+    hosts = spark.createDataFrame([("a", "b"), ("c", None)], "host string, addr string")
+    with pytest.raises(Exception, match="more than 2 texts"):
+        spark.range(1).select(rp.mask_array(rp.mask_list(hosts))).collect()

@@ -88,7 +88,8 @@ def test_compile_and_resolve(spark, tmp_path):
         ("Web", "activity", 0): (False, [15], "d"),
     }
     broken = rules.withColumn("pattern", F.lit("(%i")).limit(1)
-    assert "Unclosed group" in rl.rule_problems(broken).first()["error"]
+    assert rl.rule_problems(broken).first()["error"] == "pattern does not compile"
+    assert "Unclosed group" in rl.compile_error(spark, rl.compile_rules(broken).first()["regex"])
 
 
 def d_line(ip, la, score, act, ref, flags, reported=None, version=None):
