@@ -884,9 +884,9 @@ def monitor_template(spark, sf_dir):
     return monitor.commands(spark).select("ip", "action", "command")
 
 
-def stream_equals_batch(spark, sf_dir):
-    """Ten files of events in order of time, one for each batch, with a new start of the
-    stream in the middle: the state ends up as in one batch."""
+def _followed(spark, sf_dir):
+    """A monitor that has followed ten files of events in order of time, one for each batch,
+    with a new start of the stream in the middle."""
     folder = _folder(spark, "events")
     events = table(spark, sf_dir, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
@@ -899,7 +899,20 @@ def stream_equals_batch(spark, sf_dir):
             sliced.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         monitor.start(demo.lines_from_events(stream)).awaitTermination()
-    return monitor.state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
+    return monitor
+
+
+def stream_equals_batch(spark, sf_dir):
+    """The state of a stream ends up as in one batch."""
+    return _followed(spark, sf_dir).state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
+
+
+def stream_reports(spark, sf_dir):
+    """Scores of a stream beside its reports: the last of each address, as the state has it, and
+    how many were put out."""
+    monitor = _followed(spark, sf_dir)
+    out = monitor.reports(spark).groupBy("ip").agg(F.count("*").alias("reports"), F.max("ts").alias("newest"))
+    return monitor.state(spark).join(out, "ip", "left").select("ip", "score", "last_reported", "reports", "newest")
 
 
 def two_writers(spark, sf_dir):
@@ -971,6 +984,6 @@ QUERIES = {
         toggle_blacklist, toggle_whitelist, remove_addresses, unknown_removals, removal_plan,
         bookmarks_rotation, bookmarks_advance, bookmarks_reconcile, bookmarks_dropped,
         feed_read, feed_read_time, checks_read, check_reports, report_responses,
-        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, two_writers, monitor_reconcile, report_delivery, scan_files, tail_files, outbox_files, plan_files, listing_files,
+        monitor_state, monitor_expiry, monitor_feed_sync, monitor_template, stream_equals_batch, stream_reports, two_writers, monitor_reconcile, report_delivery, scan_files, tail_files, outbox_files, plan_files, listing_files,
     )
 }

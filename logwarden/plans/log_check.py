@@ -51,14 +51,21 @@ def check_lines(
         as_of = seen.get["latest"] or 0
     if callable(before):
         before = written(before(hits.select("ip").distinct(), as_of))
+    if hits.isEmpty():
+        nothing = hits.limit(0).withColumn("categories", F.array().cast("array<int>")).withColumn("comment", F.lit(""))
+        return _decided(before, before.limit(0), nothing, feed, config, as_of)
     counted = written(known.known_refused(hits, before, feed))
     folded = written(state.changed_rows(before, counted, settings.multiplier, feed))
 
     resolved = rules.resolve_report_settings(config.rules, config.groups, settings)
     asked = report.reportable(report.report_settings(counted, resolved), settings)
     emitted = written(report.throttle_reports(asked, folded))
-    scored = written(report.mark_reported(folded, emitted))
+    return _decided(before, written(report.mark_reported(folded, emitted)), emitted, feed, config, as_of)
 
+
+def _decided(before: DataFrame, scored: DataFrame, emitted: DataFrame, feed: DataFrame, config: Config, as_of: int) -> CheckResult:
+    """Rules of the addresses with hits (``scored``) and of those whose block may have run out."""
+    settings = config.settings
     ruled = before.filter("has_rule").join(scored.select("ip"), "ip", "left_anti").select(*STATE_COLUMNS)
     looked_at = scored.select(*STATE_COLUMNS, F.lit(True).alias("changed")).unionByName(
         ruled.withColumn("changed", F.lit(False))

@@ -539,6 +539,11 @@ ORACLE = {
         CAST(7 AS BIGINT) AS ts, line FROM log_lines""",
     "tail_files": f"""WITH {LINES} SELECT log_group, CAST(CASE log_group WHEN 'OpenSSH' THEN 0 ELSE 1 END AS INTEGER) AS group_idx,
         CAST(7 AS BIGINT) AS ts, line FROM log_lines""",
+    "stream_reports": f"""{STATE}, seconds AS MATERIALIZED (SELECT DISTINCT ip, ts FROM fold),
+        spaced AS (SELECT ip, min(ts) AS ts FROM seconds GROUP BY ip UNION ALL
+          SELECT p.ip, (SELECT min(s.ts) FROM seconds s WHERE s.ip = p.ip AND s.ts >= p.ts + 900) FROM spaced p WHERE p.ts IS NOT NULL)
+        SELECT ip, score, max(ts) AS last_reported, count(ts) AS reports, max(ts) AS newest
+        FROM state JOIN spaced USING (ip) GROUP BY ip, score""",
     "two_writers": f"{STATE} SELECT ip, last_activity, score, activity_count, refused_count FROM state",
     "monitor_reconcile": f"""{STATE}, listed AS (SELECT DISTINCT ip FROM ev WHERE user_id % 3 = 0 AND user_id % 7 <> 0)
         SELECT ip, CASE WHEN ip IN (SELECT ip FROM listed) THEN {AS_OF} <= last_activity + score

@@ -21,7 +21,7 @@ from logwarden.sources.snapshot import current_version, versions, write_state
 from logwarden.stage import remove_folder, written
 
 FULL_EVERY = 20
-PARTS = 64  # part of the stored form
+PARTS = 32  # part of the stored form
 HOUR = 3600
 WHOLE = "part int"
 DUE = "ip string, due bigint, hour bigint"

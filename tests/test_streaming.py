@@ -1,19 +1,13 @@
-import random
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from logwarden import Settings, rulesets, schemas
 from logwarden.operators import known, match, report, rules, score, state
-from logwarden.operators.score import U32_MAX
 from logwarden.plans import demo
 from logwarden.plans.log_check import Config, sync_feed
 from logwarden.sources.tail import tail_stream
 from logwarden.streaming import store
 from logwarden.streaming.monitor import Monitor, template_change
-from logwarden.streaming.scores import advance, score_stream
-from tests.test_report import greedy
-from tests.test_score import HITS, fold, make_hits
+from tests.test_score import HITS, make_hits
 
 SETTINGS = Settings(report_all=True)
 
@@ -79,42 +73,6 @@ def test_monitor_follows_files(spark, tmp_path):
         "iptables -D INPUT -s 10.10.10.10 -j DROP", "iptables -D INPUT -s 10.10.10.11 -j DROP"}
 
 
-def test_advance_is_the_sequential_fold():
-    for multiplier in (3600, 0, 1):
-        for seed in range(20):
-            rows = [("a", *r[1:]) for r in make_hits(seed, 40, ips=1, big=seed % 2 == 1)]
-            before = {"a": (random.Random(seed).randint(0, 400000), 5000, 3, 4)} if seed % 3 else {}
-            expected, _ = fold(rows, multiplier, before)
-            pdf = pd.DataFrame(sorted(rows, key=lambda r: (r[1], r[2])), columns=["ip", "ts", "seq", "kind", "score"])
-            pdf["activity"] = (pdf.kind == "activity").astype(int)
-            pdf["added"] = (pdf.score * max(multiplier, 1)).clip(upper=U32_MAX)
-            start = (*before["a"], 0) if before else (int(pdf.ts[0]), 0, 0, 0, 0)
-            after, reported = advance(pdf, start, multiplier, 900)
-            assert after[:4] == expected["a"]
-            late = [max(t, start[0]) for t in pdf.ts]
-            assert reported == greedy(late, 900, 0)
-
-
-def test_stateful_stream_equals_batch(spark, tmp_path):
-    rows = sorted(make_hits(8, 300, ips=6), key=lambda r: (r[1], r[2]))
-    source = str(tmp_path / "in")
-    checkpoint = str(tmp_path / "cp")
-    out = []
-    for n in range(3):
-        spark.createDataFrame(rows[n * 100:(n + 1) * 100], HITS).coalesce(1).write.mode("append").parquet(source)
-        hits = spark.readStream.schema(HITS).parquet(source)
-        query = (score_stream(hits, 3600).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-                 .trigger(availableNow=True).foreachBatch(lambda df, _: out.extend(df.collect())).start())
-        query.awaitTermination()
-    got = {r["ip"]: (r["last_activity"], r["score"], r["activity_count"], r["refused_count"]) for r in out}
-    hits = known.known_refused(spark.createDataFrame(rows, HITS))
-    expected = state.state_from_hits(hits, 3600)
-    assert got == {r["ip"]: (r["last_activity"], r["score"], r["activity_count"], r["refused_count"]) for r in expected.collect()}
-    counted = [tuple(r) for r in hits.collect()]
-    times = {(r["ip"], t) for r in out for t in r["reported"]}
-    assert times == {(ip, t) for ip in got for t in greedy([r[1] for r in counted if r[0] == ip], 900, 0)}
-
-
 def test_feed_sync_plan(spark):
     old = spark.createDataFrame([("1.1.1.1", 1, 95, 4, True), ("2.2.2.2", 1, 95, 4, True)], schemas.FEED)
     new = spark.createDataFrame([("2.2.2.2", 2, 96, 4, False), ("3.3.3.3", 2, 97, 4, False), ("4.4.4.4", 1, 80, 4, False)], schemas.FEED)
