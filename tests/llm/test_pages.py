@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from logwarden.llm import html_text, url_filter
@@ -72,6 +75,109 @@ def test_wrappers_named_like_what_is_outside(spark, start, end):
     assert html_text.extract(pages(spark, rows)).first().text == f"T\n\n{LONG}\n\n{LONG}"
 
 
+def read(body):
+    return html_text.article(*html_text.read_page(page(body)), None)
+
+
+@pytest.mark.parametrize("body, expected", [
+    (f"<article><p>{LONG}</p><p title=it's>odd quote</p><p>it's here</p></article>", f"{LONG}\n\nodd quote\n\nit's here"),
+    (f"<article><p data-y=5\">{LONG}</p><p 'a\"b>second</p></article>", f"{LONG}\n\nsecond"),
+    (f"<article><p class='a>b'>{LONG}</p><p class=\"never closed>second</article>", f"{LONG}\n\nsecond"),
+    (f"<article><p>{LONG}</p>1 < 2, a<3, <-, </3 and <é><p>x</article>", f"{LONG}\n\n1 < 2, a<3, <-, </3 and <é>\n\nx"),
+    (f"<article><svg><p>{LONG}</p><p>more</p></article>", f"{LONG}\n\nmore"),
+])
+def test_attributes_and_marks_that_are_no_tags(body, expected):
+    assert read(body) == expected
+
+
+@pytest.mark.parametrize("body, expected", [
+    (f"<div><h1>A short title</h1><div class=body><p>{LONG}</p></div></div><div class=box><p>short</p></div>", f"A short title\n\n{LONG}"),
+    (f"<div><h1>Title</h1><p>By me</p><div class=body><p>{LONG}</p></div><p>The end.</p><h3>More</h3><p>x</p></div>",
+     f"Title\n\nBy me\n\n{LONG}\n\nThe end."),
+    (f"<h1>Title</h1><div class=body><p>{LONG}</p></div><p>Copyright</p>", f"Title\n\n{LONG}"),
+    (f"<header><h1>Site</h1><p>{LONG}</p></header><div><p>{LONG}</p></div>", LONG),
+    (f"<article><header><h1>T</h1><p class=lead>{LONG}</p><p>5 May</p></header><p>{LONG}</p></article>", f"T\n\n{LONG}\n\n{LONG}"),
+    ("<nav><ul><li><a href=x>Menu</a></ul></nav><div class=box><ul><li>Flour, two cups of it</li><li>Sugar, one cup<li>Salt</ul></div>",
+     "Flour, two cups of it\n\nSugar, one cup\n\nSalt"),
+    ("<div class=with-sidebar><div class=box><ul><li>Flour, two cups of it</li><li>Sugar, one cup, and some more</ul></div></div>",
+     "Flour, two cups of it\n\nSugar, one cup, and some more"),
+])
+def test_what_belongs_to_the_article(body, expected):
+    assert read(body) == expected
+
+
+@pytest.mark.parametrize("text", ["Brief.", ""])
+def test_an_advert_longer_than_its_article_is_no_wrapper(text):
+    assert read(f"<div class=ad>{LONG}</div><article><h1>{text}</h1></article><div class='comments'><p>{LONG}</p></div>") == text
+
+
+@pytest.mark.parametrize("name, stays", [
+    ("comment-on-economy", True), ("notice-board", True), ("hidden-gems", True), ("social-history", True), ("shared-memory", True),
+    ("comment", False), ("comment-list", False), ("social-share", False), ("user-comments-5", False), ("ad-slot", False), ("newsletter-box-big", False),
+])
+def test_names_of_parts(name, stays):
+    body = f"<article><p>{LONG} {LONG}</p><div class='x {name}'><p>A small part.</p></div><p>{LONG}</p></article>"
+    assert ("A small part." in read(body)) == stays
+    assert ("A small part." in read(body.replace("class", "id"))) == stays
+
+
+def test_labels_are_outside_within_forms():
+    kept = f"<article><p>{LONG}</p><label>One</label><fieldset>Two</fieldset><form><label>No</label><fieldset>No</fieldset></form></article>"
+    assert read(kept) == f"{LONG}\n\nOne\n\nTwo"
+
+
+@pytest.mark.parametrize("start, unit, end", [
+    ("", "<a x ", ""), ("", "<a x ", ">"), ("", "<a x='>' ", ""), ("", "<a x=\"'", ">"), ("", "<", ">"), ("", "<!", ""), ("", "<!-- ", ""), ("", "</", ">"),
+    ("<script>", "</script ", ""), ("<title>", "</titl", ">"), ("<svg>", "<svg ", ""), ("", "<svg>", ""), ("", "<a x = ", ">"), ("", "<p a=' b=\" ", ">"),
+])
+def test_time_grows_with_the_length(start, unit, end):
+    best = []
+    for n in (20_000, 80_000):
+        html, times = start + unit * (n // len(unit)) + end, []
+        for _ in range(3):
+            began = time.perf_counter()
+            html_text.article(*html_text.read_page(html), None)
+            times.append(time.perf_counter() - began)
+        best.append(min(times))
+    assert best[1] < 0.05 + 8 * best[0] and best[1] < 1
+
+
+def slow_article(html):
+    """The text of the one article element of a page, by Python's own HTML parser."""
+    parts, inside, skip = [[]], [0], [0]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            inside[0] += tag == "article"
+            skip[0] += tag in ("script", "style")
+            if tag == "br":
+                parts[-1].append(" ")
+            elif tag not in ("b", "i", "em", "strong", "a", "span"):
+                parts.append([])
+
+        def handle_endtag(self, tag):
+            inside[0] -= tag == "article"
+            skip[0] -= tag in ("script", "style")
+            if tag not in ("b", "i", "em", "strong", "a", "span"):
+                parts.append([])
+
+        def handle_data(self, data):
+            if inside[0] and not skip[0]:
+                parts[-1].append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(html or "")
+    reader.close()
+    return "\n\n".join(filter(None, (" ".join("".join(p).split()) for p in parts)))
+
+
+def test_whole_table_against_a_plain_parser(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = {r.page_id: r.html for r in table.collect()}
+    for row in html_text.extract(table).collect():
+        assert row.text == slow_article(html[row.page_id]), row.page_id
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_odd_pages(spark, monkeypatch, limit):
     monkeypatch.setattr(html_text, "SMALL_LIST", limit)
