@@ -3,8 +3,9 @@
 A pattern is a window of benchmark words, a symbol is a word, and a block is the last two
 words of a position. The shift table says how far the search may jump behind a block: past
 every position at which no pattern can end. Where the shift is zero, the hash of the block
-leads to the patterns with that ending, and comparing bytes confirms an occurrence. Texts
-are cut into stretches whose searches advance side by side.
+leads to the patterns with that ending, of which a hash of all their words picks the one to
+compare; comparing bytes confirms an occurrence. A window that items share is one pattern.
+Texts are cut into stretches whose searches advance side by side.
 """
 
 from __future__ import annotations
@@ -40,16 +41,26 @@ def block_hash(words: Words, ends: np.ndarray, length: int) -> np.ndarray:
     return out ^ out >> np.uint64(31)
 
 
+def window_hash(words: Words, firsts: np.ndarray, length: int) -> np.ndarray:
+    """Of the ``length`` words from each position."""
+    out = np.zeros(len(firsts), np.uint64)
+    for k in range(length):
+        out = out * BASE + words.hashes[firsts + k]
+    return out
+
+
 class Patterns(NamedTuple):
-    """Windows of one length."""
+    """Distinct windows of one length."""
 
     length: int
     bits: int
     shift: np.ndarray  # by leading bits of a block's hash
     endings: np.ndarray  # distinct hashes of last blocks, sorted
     bucket: np.ndarray  # offsets of the endings in the windows
+    whole: np.ndarray  # a window's hash, sorted within a bucket
     places: np.ndarray  # where a window's bytes begin and end in the text
-    owners: np.ndarray  # a window's item
+    owned: np.ndarray  # offsets of the windows in the owners
+    owners: np.ndarray  # the items that have a window
 
 
 class Tables(NamedTuple):
@@ -73,16 +84,23 @@ def tables_of(rows: list[tuple[str | None, str | None]], window: int) -> Tables:
         for place in range(block, length + 1):
             spots = (block_hash(words, first + place - 1, length) >> np.uint64(64 - bits)).astype(np.int64)
             shift[spots] = np.minimum(shift[spots], length - place)
-        last = block_hash(words, first + length - 1, length)
-        order = np.argsort(last, kind="stable")
+        number: dict[bytes, int] = {}
+        which = np.array([
+            number.setdefault(words.text[a:b], len(number)) for a, b in zip(words.places[first].tolist(), words.places[first + length].tolist())
+        ])
+        first, owner = first[np.unique(which, return_index=True)[1]], np.repeat(mine, many)
+        last, whole = block_hash(words, first + length - 1, length), window_hash(words, first, length)
+        order = np.lexsort((whole, last))
         endings, begin = np.unique(last[order], return_index=True)
         places = np.stack([words.places[first], words.places[first + length]], 1)[order]
-        groups.append(Patterns(length, bits, shift, endings, np.r_[begin, len(first)], places, np.repeat(mine, many)[order]))
+        pairs = np.unique(np.stack([np.argsort(order)[which], owner]), axis=1)
+        owned = np.searchsorted(pairs[0], np.arange(len(first) + 1))
+        groups.append(Patterns(length, bits, shift, endings, np.r_[begin, len(first)], whole[order], places, owned, pairs[1]))
     return Tables(words.text, [item for item, _ in rows], groups)
 
 
 def occurrences(words: Words, patterns: Patterns, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the occurrences, and the items they belong to."""
+    """First words of the occurrences, and the windows that occur there."""
     n, m = len(words.hashes), patterns.length
     at = np.arange(m - 1, n, STRETCH)
     stop = np.minimum(at + STRETCH, n)
@@ -99,15 +117,26 @@ def occurrences(words: Words, patterns: Patterns, text: bytes) -> tuple[np.ndarr
     row = np.searchsorted(words.rows, [ends - m + 1, ends], "right")
     good = (patterns.endings[bucket] == last) & (row[0] == row[1])  # within one text
     ends, bucket = ends[good], bucket[good]
-    firsts, items = [], []
-    for first, stop, k in zip(words.places[ends - m + 1].tolist(), words.places[ends + 1].tolist(), range(len(ends))):
-        window = words.text[first:stop]
-        for p in range(patterns.bucket[bucket[k]], patterns.bucket[bucket[k] + 1]):
-            a, b = patterns.places[p]
-            if text[a:b] == window:
-                firsts.append(ends[k] - m + 1)
-                items.append(patterns.owners[p])
-    return np.array(firsts, np.int64), np.array(items, np.int64)
+    begins = ends - m + 1
+    low, behind, hash = patterns.bucket[bucket], patterns.bucket[bucket + 1], window_hash(words, begins, m)
+    high = behind
+    while (low < high).any():  # the first window of the bucket with that hash
+        middle = np.minimum((low + high) // 2, len(patterns.whole) - 1)
+        right = (low < high) & (patterns.whole[middle] < hash)
+        low, high = np.where(right, middle + 1, low), np.where(right, high, np.minimum(high, middle))
+    on = np.flatnonzero((low < behind) & (patterns.whole[np.minimum(low, len(patterns.whole) - 1)] == hash))
+    found = []
+    for k, p, stop, a, b in zip(
+        on.tolist(), low[on].tolist(), behind[on].tolist(), words.places[begins[on]].tolist(), words.places[begins[on] + m].tolist()
+    ):
+        window = words.text[a:b]
+        while p < stop and patterns.whole[p] == hash[k]:
+            first, last = patterns.places[p]
+            if text[first:last] == window:
+                found.append((begins[k], p))
+                break
+            p += 1
+    return np.array(found, np.int64).reshape(-1, 2).T
 
 
 def search(column: pa.Array, spans: pa.Array, found: pa.Array, tables: Tables) -> list[pa.Array]:
@@ -122,10 +151,13 @@ def search(column: pa.Array, spans: pa.Array, found: pa.Array, tables: Tables) -
     np.add.at(cover, earlier[1::2] + base[1::2], -1)
     hits = [np.zeros((2, 0), np.int64)]
     for patterns in tables.groups:
-        first, item = occurrences(words, patterns, tables.text)
+        first, window = occurrences(words, patterns, tables.text)
         np.add.at(cover, first, 1)
         np.add.at(cover, first + patterns.length, -1)
-        hits.append(np.stack([np.searchsorted(words.rows, first, "right") - 1, item]))
+        row, window = np.unique(np.stack([np.searchsorted(words.rows, first, "right") - 1, window]), axis=1)
+        many = patterns.owned[window + 1] - patterns.owned[window]
+        owner = np.repeat(patterns.owned[window] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        hits.append(np.stack([np.repeat(row, many), patterns.owners[owner]]))
     hit = np.cumsum(cover)[:n] > 0
     edge = np.zeros(n + 1, bool)
     edge[words.rows] = True
@@ -191,8 +223,11 @@ def benchmark_hits(
     an id marks words but is not listed; rows that share an id count as one item. Texts and
     items are searched whole. The benchmark is dealt out into blocks of about
     ``BLOCK_BYTES`` that are searched for one after the other, in as many passes as its
-    size takes, so what executors hold at once does not grow with it.
+    size takes, so what executors hold at once does not grow with it. Kept columns with the
+    name of a result are refused.
     """
+    if {c.lower() for c in keep} & {f.name for f in FOUND}:
+        raise ValueError("a kept column has the name of a result")
     empty = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
              F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")]
     state = docs.select(F.col(text).cast("string").alias("\x01text"), *keep, *empty)

@@ -1,5 +1,9 @@
 import random
 import re
+import time
+
+import pyarrow as pa
+import pytest
 
 from logwarden.llm import decontaminate
 
@@ -55,3 +59,42 @@ def test_odd_rows_and_empty_tables(spark, documents, odd):
     assert hits[1] == hits[2] == hits[3] == 0 and hits[4] == 1 and hits[6] == 30_000 and hits[None] == 3
     assert all(r.n_hit == 0 for r in decontaminate.report(documents(odd), benchmark(spark, [])).collect())
     assert decontaminate.report(documents([]), benchmark(spark, items)).collect() == []
+
+
+def test_windows_that_items_share_are_searched_for_once():
+    """Many items with one sentence, and many windows with one ending."""
+    shared = " ".join(f"w{k}" for k in range(30))
+
+    def spent(n):
+        items = [(str(k), f"{shared} own{k} a b c d e f g h of the") for k in range(n)]
+        tables = decontaminate.tables_of(items, 10)
+        column = decontaminate.arrow.texts(pa.array([f"{shared} x " * 3 + "u v w x y z a of the " * 50] * 50))
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            firsts = [decontaminate.occurrences(decontaminate.words_of(column, decontaminate.FOLD), g, tables.text)[0] for g in tables.groups]
+            best.append(time.perf_counter() - began)
+            assert sum(map(len, firsts)) == 50 * 3 * 21
+        empty = pa.array([[]] * 50, pa.list_(pa.string()))
+        found = decontaminate.search(column, pa.array([[]] * 50, pa.list_(pa.int32())), empty, tables)
+        assert found[3].to_pylist() == [sorted(k for k, _ in items)] * 50
+        return min(best)
+
+    spent(10)
+    assert spent(3_000) < 0.05 + 3 * spent(30)
+
+
+def test_equal_hashes_of_different_windows(monkeypatch, spark, documents):
+    monkeypatch.setattr(decontaminate, "window_hash", lambda words, firsts, length: firsts.astype("uint64") * 0)
+    items = [(k, f"a{k} b c d") for k in range(5)] + [(9, "a1 b c d")]
+    tables = decontaminate.tables_of([(str(k), t) for k, t in items], 3)
+    column = decontaminate.arrow.texts(pa.array(["x a1 b c d", "a3 b c", "a7 b c d"]))
+    empty = pa.array([[]] * 3, pa.list_(pa.string()))
+    found = decontaminate.search(column, pa.array([[]] * 3, pa.list_(pa.int32())), empty, tables)
+    expected = [brute(t, items, 3) for t in column.to_pylist()]
+    assert [(a, b, c) for a, b, c in zip(found[0].to_pylist(), found[1].to_pylist(), found[3].to_pylist())] == expected
+
+
+def test_kept_columns_do_not_hide_results(spark, documents):
+    with pytest.raises(ValueError):
+        decontaminate.benchmark_hits(documents([]).selectExpr("doc_id", "text", "1 AS Spans"), benchmark(spark, []), keep=("doc_id", "Spans"))
