@@ -4,7 +4,9 @@ Words that a license has once are its anchors. Where a text has enough of a lice
 close together, the longest increasing subsequence of the anchors found there, in the order
 of the license, is the backbone of the alignment; the gaps between its anchors, and what
 stands before and behind, are aligned in the same way by the words that both sides have
-once, and so on. Coverage is the share of the license's words that are aligned.
+once, and so on. Coverage is the share of the license's words that are aligned. A short
+sentence must stand there whole, and a notice with the words that tell it from its neighbours
+(a name, a version).
 """
 
 from __future__ import annotations
@@ -27,21 +29,50 @@ from logwarden.llm.words import words_of
 
 COVER = 0.75  # share of a license's words that an occurrence has at least
 DENSE = 0.5  # share of an occurrence's words that belong to the license at least
+SENTENCE = 20  # words below which a template must be found whole and without others between
+NOTICE = 100  # words below which the words that its neighbours lack must be found as well
 
 FOLDER = Path(__file__).parent / "licenses"  # whole texts, by name
-# Sentences that stand for a license.
+# Identifiers of the public license list, and the notices that licenses recommend.
+IDENTIFIERS = [
+    "0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent",
+    "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "ECL-2.0", "EPL-1.0", "EPL-2.0",
+    "EUPL-1.1", "EUPL-1.2", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0",
+    "MS-PL", "MS-RL", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+]
+GNU = [
+    ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"), ("LGPL-2.1", "Lesser General", "2.1"),
+    ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+]
+COMMONS = [
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+]
 NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "Licensed under the ISC License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-                "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 "
+                "which accompanies this distribution"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+                "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+                  "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+                  "non-commercial, and by any means."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
+    *((name, f"SPDX-License-Identifier: {name}-{which}") for name, _, _ in GNU for which in ("only", "or-later")),
+    *((name, f"This work is licensed under the GNU {kind} Public License, version {version}.") for name, kind, version in GNU),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as "
+             f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, kind, version in GNU),
+    *((f"CC-{code}-{version}", text) for code, kind in COMMONS for version in ("3.0", "4.0") for text in (
+        f"Licensed under CC {code} {version}.", f"SPDX-License-Identifier: CC-{code}-{version}",
+        f"licensed under a Creative Commons {kind} {version}", f"licensed under the Creative Commons {kind} {version}")),
 ]
 
 
@@ -51,6 +82,9 @@ class License(NamedTuple):
     has: np.ndarray  # how often it has each word of the vocabulary
     anchor: np.ndarray  # of a word that it has once the place, else -1
     need: int  # words of an occurrence
+    span: int  # most words that an occurrence reaches over
+    marks: list[set[int]]  # places of the words that a neighbour lacks; three quarters of each must be found
+    tight: set[int]  # places behind which a neighbour has further words: the next word must follow at once
 
 
 class Found(NamedTuple):
@@ -77,8 +111,23 @@ def prepared(licenses: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[Li
         anchor = np.full(len(vocabulary), -1)
         anchor[mine] = np.arange(len(mine))
         anchor[has != 1] = -1
+        short = len(mine) < SENTENCE
         if len(mine):
-            out.append(License(name, mine.tolist(), has, anchor, int(np.ceil(COVER * len(mine)))))
+            out.append(License(
+                name, mine.tolist(), has, anchor, len(mine) if short else int(np.ceil(COVER * len(mine))),
+                len(mine) if short else int(len(mine) / DENSE), [], set(),
+            ))
+    notices = [one for one in out if SENTENCE <= len(one.words) < NOTICE]
+    for one in notices:
+        for other in notices:
+            if one.name != other.name:
+                found = aligned(other.words, one.words, 0, len(other.words), 0, len(one.words))
+                lacks = set(range(len(one.words))) - {q for _, q in found}
+                if len(found) < one.need:
+                    continue
+                if lacks:
+                    one.marks.append(lacks)
+                one.tight.update(q for (p, q), (r, s) in zip(found, found[1:]) if s == q + 1 and r > p + 1)
     return vocabulary, out
 
 
@@ -143,6 +192,14 @@ def backbone(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
     return pairs[best[0]:best[1] + 1]
 
 
+def is_told_apart(license: License, found: list[tuple[int, int]]) -> bool:
+    """Whether an alignment has what neighbours of the license lack, and nothing where they have more."""
+    places = {q: p for p, q in found}
+    return all(sum(q in places for q in lacks) >= COVER * len(lacks) for lacks in license.marks) and all(
+        q in places and places.get(q + 1) == places[q] + 1 for q in license.tight
+    )
+
+
 def occurrences(text: np.ndarray, license: License) -> list[Found]:
     """Occurrences in a stretch of words, given as numbers, -1 for words of no license. What
     lies beside an occurrence is searched again; so are both sides of an alignment that falls
@@ -160,24 +217,23 @@ def occurrences(text: np.ndarray, license: License) -> list[Found]:
             continue
         pairs = backbone(hits + a, place[hits])
         (p, q), (r, s) = pairs[0], pairs[-1]
-        all = aligned(listed, own, max(a, p - 2 * q), p, 0, q) + pairs
+        found = aligned(listed, own, max(a, p - 2 * q), p, 0, q) + pairs
         for (e, f), (g, h) in zip(pairs, pairs[1:]):
-            all += aligned(listed, own, e + 1, g, f + 1, h)
-        all += aligned(listed, own, r + 1, min(b, r + 1 + 2 * (len(own) - s - 1)), s + 1, len(own))
-        begin, end = min(all)[0], max(all)[0] + 1
-        if len(all) >= license.need and len(all) >= DENSE * (end - begin):
-            out.append(Found(license.name, len(all), len(own), begin, end))
+            found += aligned(listed, own, e + 1, g, f + 1, h)
+        found += aligned(listed, own, r + 1, min(b, r + 1 + 2 * (len(own) - s - 1)), s + 1, len(own))
+        begin, end = min(found)[0], max(found)[0] + 1
+        if len(found) >= license.need and end - begin <= license.span * len(found) / len(own) and is_told_apart(license, found):
+            out.append(Found(license.name, len(found), len(own), begin, end))
             todo += [(a, begin), (end, b)]
         else:
             todo += [(a, p), (p + 1, b)]
     return out
 
 
-def stretches(inside: np.ndarray, rows: np.ndarray, length: int, need: int) -> list[tuple[int, int]]:
+def stretches(inside: np.ndarray, rows: np.ndarray, span: int, need: int) -> list[tuple[int, int]]:
     """Where an occurrence can lie: it has at least ``need`` of the license's words, the first
-    of them at its beginning, within ``length / DENSE`` words of one row. Stretches of more than
+    of them at its beginning, within ``span`` words of one row. Stretches of more than
     twice that are cut into ones that overlap by that much."""
-    span = int(length / DENSE)
     count = np.r_[0, np.cumsum(inside)]
     begins = np.flatnonzero(inside)
     enough = count[np.minimum(begins + span, len(inside))] - count[begins] >= need
@@ -197,12 +253,19 @@ def stretches(inside: np.ndarray, rows: np.ndarray, length: int, need: int) -> l
 
 def best_of(found: list[Found]) -> list[Found]:
     """Of occurrences that overlap the one with most words and most of its license; in the
-    order of the text."""
-    kept: list[Found] = []
+    order of the text. Of equals at one place with different names none counts."""
+    begins: list[int] = []  # of the chosen, which do not overlap, in order
+    chosen: list[Found] = []
+    unsure: set[int] = set()
     for one in sorted(found, key=lambda f: (-f.matched**2 / f.length, f.begin, f.end, f.name)):
-        if all(one.end <= other.begin or other.end <= one.begin for other in kept):
-            kept.append(one)
-    return sorted(kept, key=lambda f: f.begin)
+        k = bisect_left(begins, one.begin)
+        at = next((j for j in (k - 1, k) if 0 <= j < len(chosen) and chosen[j].begin < one.end and one.begin < chosen[j].end), None)
+        if at is None:
+            begins.insert(k, one.begin)
+            chosen.insert(k, one)
+        elif one._replace(name=chosen[at].name) == chosen[at] and one.name != chosen[at].name:
+            unsure.add(one.begin)
+    return [one for one in chosen if one.begin not in unsure]
 
 
 def scan_rows(column: pa.Array, licenses: tuple[tuple[str, str], ...]) -> list[pa.Array]:
@@ -211,9 +274,12 @@ def scan_rows(column: pa.Array, licenses: tuple[tuple[str, str], ...]) -> list[p
     number = np.minimum(np.searchsorted(vocabulary, words.hashes), max(len(vocabulary) - 1, 0))
     number = np.where(vocabulary[number] == words.hashes, number, -1) if len(vocabulary) else np.full(len(words.hashes), -1)
     found: list[list[Found]] = [[] for _ in range(len(column))]
+    there = np.bincount(number[number >= 0], minlength=len(vocabulary))
     for license in known:
+        if np.minimum(there, license.has).sum() < license.need:
+            continue
         inside = np.r_[license.has > 0, False][number]
-        for a, b in stretches(inside, words.rows, len(license.words), license.need):
+        for a, b in stretches(inside, words.rows, license.span, license.need):
             row = int(np.searchsorted(words.rows, a, "right")) - 1
             base = a - int(words.rows[row])
             found[row] += [f._replace(begin=f.begin + base, end=f.end + base) for f in occurrences(number[a:b], license)]

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pyarrow as pa
 
 from logwarden.llm import license_scan
 
@@ -34,7 +37,7 @@ def noise(n, seed):
     return " ".join("".join(rng.choice("bdfgklmz") for _ in range(7)) for _ in range(n))
 
 
-TEXTS = dict(license_scan.known_licenses()[:8])
+TEXTS = {path.stem: path.read_text("utf-8") for path in license_scan.FOLDER.glob("*.txt")}
 
 
 def scanned(documents, rows, **options):
@@ -93,3 +96,56 @@ def test_whole_table_against_the_sentences_in_it(spark, sf_dir):
         brute = [(k, name) for k in range(len(mine)) for name, own in sentences if mine[k:k + len(own)] == own]
         assert got[row.doc_id] == [name for _, name in brute], row.doc_id
     assert sum(map(len, got.values())) > 0
+
+
+GNU_NOTICE = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as "
+              "published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+NEAR = [
+    ("SPDX-License-Identifier: ISC", ["ISC"]), ("SPDX-License-Identifier: Proprietary-Foo", []), ("SPDX-License-Identifier: BSD-2-Clause", ["BSD-2-Clause"]),
+    ("SPDX-License-Identifier: LGPL-3.0", ["LGPL-3.0"]), ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+    ("SPDX-License-Identifier: MIT-0", ["MIT-0"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Released under the Apache License", []),
+    ("The minister was released under the license agreement", []), ("Licensed under the Apache License, Version 1.0", []),
+    (GNU_NOTICE.format("General", 2), ["GPL-2.0"]), (GNU_NOTICE.format("General", 3), ["GPL-3.0"]), (GNU_NOTICE.format("General", 4), []),
+    (GNU_NOTICE.format("Lesser General", 2.1), ["LGPL-2.1"]), (GNU_NOTICE.format("Library General", 2), ["LGPL-2.0"]),
+    (GNU_NOTICE.format("Affero General", 3), ["AGPL-3.0"]), (GNU_NOTICE.format("Lesser General", 3), ["LGPL-3.0"]),
+    ("licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License", ["CC-BY-SA-3.0"]),
+]
+
+
+def test_near_misses(documents):
+    got = scanned(documents, [(k, f"{noise(30, k)} {text} {noise(30, -k)}") for k, (text, _) in enumerate(NEAR)])
+    for k, (text, names) in enumerate(NEAR):
+        assert got[k].licenses == names, text
+
+
+def test_no_template_passes_for_another(documents):
+    """Every template alone, with every one of its words replaced in turn: its name or none."""
+    rows, names = [], []
+    for name, text in license_scan.known_licenses():
+        own = words(text)
+        for k in range(len(own) if len(own) < license_scan.NOTICE else 0):
+            rows.append((len(rows), " ".join([*own[:k], "zzzz", *own[k + 1:]])))
+            names.append((name, len(own)))
+    got = scanned(documents, rows)
+    for k, (name, length) in enumerate(names):
+        inner = {n for n, t in license_scan.known_licenses() if words(t) != rows[k][1].split() and f" {' '.join(words(t))} " in f" {rows[k][1]} "}
+        assert set(got[k].licenses) <= ({name} if length >= license_scan.SENTENCE else set()) | inner, rows[k]
+
+
+def test_equals_at_one_place_name_none(documents):
+    text = "Use of this thing is granted to whom it may concern"
+    got = scanned(documents, [(1, f"x y {text} z")], licenses=[("A", text), ("B", text)])
+    assert got[1].licenses == []
+
+
+def test_time_grows_with_the_notices():
+    known = tuple(license_scan.known_licenses())
+    license_scan.scan_rows(license_scan.arrow.texts(pa.array(["x"])), known)
+    spent = []
+    for n in (2_000, 8_000):
+        began = time.perf_counter()
+        found = license_scan.scan_rows(license_scan.arrow.texts(pa.array(["Released under the MIT License.\n" * n])), known)
+        spent.append(time.perf_counter() - began)
+        assert len(found[1][0]) == n
+    assert spent[1] < 0.5 + 6 * spent[0] and spent[1] < 4, spent
