@@ -1,6 +1,9 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from logwarden.llm import toxicity
 
@@ -28,12 +31,57 @@ def test_finds_what_is_not_labelled(documents, labels):
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in got]) > 0.98
 
 
-def test_risk_does_not_fall_below_zero():
-    """A separable sample: without the lower bound the unlabelled part would keep sinking."""
+def plain_risk(margins, positive, prior):
+    """(positives as positive, the unlabelled's part) by the definition, row after row."""
+    def chance(m):
+        return 1 / (1 + math.exp(-m))
+
+    up = [m for m, p in zip(margins, positive) if p]
+    rest = [m for m, p in zip(margins, positive) if not p]
+    first = prior * sum(1 - chance(m) for m in up) / len(up)
+    return first, sum(map(chance, rest)) / len(rest) - prior * sum(map(chance, up)) / len(up)
+
+
+@pytest.mark.parametrize("seed, prior, low", [(1, 0.1, False), (2, 0.3, False), (3, 0.9, True), (4, 0.6, True)])
+def test_risk_and_slope_against_the_definition(seed, prior, low):
+    pick = np.random.default_rng(seed)
+    positive = np.arange(40) < 12
+    margin = pick.normal(0, 1, 40) + np.where(positive, 2.0, -4.0 if low else 0.0)
+    value, slope = toxicity.risk(margin, positive, prior)
+    first, second = plain_risk(margin, positive, prior)
+    assert (second < 0) == low and abs(value - first - max(second, 0)) < 1e-12 and value >= 0
+    for k in range(40):
+        parts = []
+        for step in (1e-5, -1e-5):
+            moved = margin.copy()
+            moved[k] += step
+            parts.append(plain_risk(moved, positive, prior))
+        (a, b), (c, d) = parts
+        expected = -(b - d) / 2e-5 if low else (a + b - c - d) / 2e-5
+        assert abs(slope[k] - expected) < 1e-7
+
+
+def test_separable_rows_do_not_sink_for_ever():
+    """Without the lower bound, the unlabelled's part would go on falling to -prior."""
     ends = np.arange(0, 201)
     slots = np.r_[np.zeros(50, int), np.zeros(10, int), np.ones(140, int)]
-    model = toxicity.fit(ends, slots, np.r_[np.ones(50, int), np.zeros(150, int)], 0.1, 4)
-    assert (model.weights >= 0).all()
+    y = np.r_[np.ones(50, int), np.zeros(150, int)]
+    model = toxicity.fit(ends, slots, y, 0.5, 4)
+    _, part = plain_risk((model.weights[slots] + model.bias).tolist(), (y == 1).tolist(), 0.5)
+    assert part > -0.25
+
+
+def test_words_are_counted_over_all_rows(documents):
+    rows, _ = corpus(random.Random(3), 90)
+    texts = [t for _, t in rows] + [None, "", rows[0][1]]
+    got = toxicity.slot_counts(documents(list(enumerate(texts))).repartition(5), 12)
+    expected = np.zeros(1 << 12)
+    for text in texts:
+        ends, slots = toxicity.ngrams.word_grams(toxicity.arrow.texts(pa.array([text], pa.string())), 12)
+        expected[sorted(set(slots.tolist()))] += 1
+    assert got.rows == len(texts) and (got.slots == expected).all()
+    none = toxicity.slot_counts(documents([]), 12)
+    assert none.rows == 0 and not none.slots.any()
 
 
 def test_odd_rows(documents, labels, odd):
