@@ -124,3 +124,37 @@ def test_a_text_scores_the_same_alone_and_among_others():
         among = quality_classifier.score_rows(arrow.texts(pa.array([texts[k] for k in order], pa.string())), model)
         assert among.tolist() == [alone[k] for k in order]
     assert len(ngrams.character_grams(arrow.texts(pa.array([""])), quality_classifier.BITS)[1]) == 2  # white space, in both tables
+
+
+def test_solver_against_plain_descent(monkeypatch):
+    """The same dual, dense and with loops in a fixed order, run until nothing moves."""
+    pick = np.random.default_rng(4)
+    size, n = 30, 60
+    x = pick.random((n, size)) < 0.2
+    x[:5] = False
+    y = (x[:, :6].sum(1) + pick.normal(0, 0.7, n) > 1).astype(int)
+    ends, slots = np.r_[0, np.cumsum(x.sum(1))], np.nonzero(x)[1]
+    scale = quality_classifier.log_ratios(ends, slots, y, size)
+    for k in range(size):  # the ratios by their definition
+        good, bad = ([1 + sum(bool(x[i, j]) for i in range(n) if y[i] == label) for j in range(size)] for label in (1, 0))
+        assert abs(scale[k] - np.log(good[k] / sum(good) / (bad[k] / sum(bad)))) < 1e-12
+    sign = np.where(y == 1, 1.0, -1.0)
+    wide = np.c_[x * scale, np.ones(n)] * sign[:, None]
+    kernel, alpha = wide @ wide.T, np.zeros(n)
+    for _ in range(4_000):
+        for i in range(n):
+            alpha[i] = min(max(alpha[i] - (kernel[i] @ alpha - 1) / kernel[i, i], 0.0), quality_classifier.COST)
+    best = alpha @ wide
+
+    def objective(w):
+        return w @ w / 2 + quality_classifier.COST * np.maximum(1 - wide @ w, 0).sum()
+
+    def solved():
+        weights, bias = quality_classifier.descend(ends, slots, y, scale, np.arange(n))
+        return np.r_[np.divide(weights, scale, out=np.zeros(size), where=scale != 0), bias]
+
+    assert objective(solved()) < 1.05 * objective(best)
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 4_000)
+    gap = 1e-3 * n * quality_classifier.COST  # it stops once no row's margin moves by more than 1e-3
+    assert objective(best) - 1e-9 <= objective(solved()) < objective(best) + gap
+    assert np.abs(solved() - best).max() < 0.01
