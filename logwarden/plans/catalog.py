@@ -836,7 +836,7 @@ def monitor_state(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
     monitor = Monitor(folder, lambda session: config(demo_rules(session)))
-    monitor.start(demo.lines_from_events(events)).awaitTermination()
+    monitor.start(demo.lines_dealt_out(events)).awaitTermination()
     return monitor.state(spark).select("ip", "last_activity", "score", "activity_count", "refused_count")
 
 
@@ -891,14 +891,16 @@ def _followed(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     place = F.least(F.floor((fn.epoch_seconds("ts") - int(low.timestamp())) * 10 / (int(high.timestamp()) - int(low.timestamp()) + 1)), F.lit(9))
-    sliced = written(events.withColumn("slice", place.cast("int")))
+    sliced = f"{folder}/sliced"  # by slice, so each of the ten files is made of its own rows only
+    events.withColumn("slice", place.cast("int")).write.partitionBy("slice").parquet(sliced)
+    by_slice = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, slice int").parquet(sliced)
     config = partial(log_check.Config, groups=demo_groups(spark), settings=SETTINGS)
     monitor = Monitor(f"{folder}/monitor", lambda session: config(demo_rules(session)))
     for half in (range(5), range(5, 10)):
         for k in half:
-            sliced.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            by_slice.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        monitor.start(demo.lines_from_events(stream)).awaitTermination()
+        monitor.start(demo.lines_dealt_out(stream)).awaitTermination()
     return monitor
 
 

@@ -38,11 +38,15 @@ def clean_ip(user: Column) -> Column:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``log_group, seq, ts, line`` from `events`; seq is the event id. The test table is one
-    file that cannot be split, so its rows are dealt out here."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    events = events.repartition(spark.sparkContext.defaultParallelism)
-    return lines_from_events(events)
+    """``log_group, seq, ts, line`` from `events`; seq is the event id."""
+    return lines_dealt_out(table(spark, sf_dir, "events"))
+
+
+def lines_dealt_out(events: DataFrame) -> DataFrame:
+    """The lines of a table or stream of events. A file of the test tables cannot be split, so
+    rows are dealt out here, before the text is made of them."""
+    narrow = events.select("event_id", "ts", "user_id", "event_type")
+    return lines_from_events(narrow.repartition(events.sparkSession.sparkContext.defaultParallelism))
 
 
 def lines_from_events(events: DataFrame) -> DataFrame:

@@ -86,3 +86,13 @@ def test_feed_sync_plan(spark):
 def test_per_second_totals_are_enough_for_the_state(spark):
     hits = spark.createDataFrame(make_hits(4, 100), HITS)
     assert score.per_second(hits, 1).agg(F.sum("activity") + F.sum("refused")).first()[0] == 100
+
+
+def test_lines_of_one_file_are_dealt_out(spark, sf_dir, tmp_path):
+    """A batch of one file that cannot be split is matched by all cores, and hits are many files."""
+    demo.table(spark, sf_dir, "events").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(demo.table(spark, sf_dir, "events").schema).parquet(str(tmp_path / "in"))
+    parts = []
+    stream = demo.lines_dealt_out(events).writeStream.foreachBatch(lambda lines, _: parts.append(lines.rdd.getNumPartitions()))
+    stream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    assert parts == [spark.sparkContext.defaultParallelism]
