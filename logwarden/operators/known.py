@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.operators.skew import salted_join
+from logwarden.stage import written
 
 
 def attach_state(hits: DataFrame, state: DataFrame) -> DataFrame:
@@ -27,10 +28,10 @@ def unknown_refused(hits: DataFrame, state: DataFrame | None = None, feed: DataF
 
 def _with_knowledge(hits: DataFrame, state: DataFrame | None, feed: DataFrame | None) -> DataFrame:
     at = F.struct("ts", "seq")
-    seen = hits.groupBy("ip").agg(
+    seen = written(hits.groupBy("ip").agg(
         F.count(F.when(F.col("kind") == "refused", True)).alias("n"),
         F.min(F.when(F.col("kind") == "activity", at)).alias("first_activity"),
-    )
+    ))
     known = seen.select("ip", "first_activity", F.lit(False).alias("listed"))
     asked = seen.filter("n > 0").select("ip")  # nothing else of the state and the feed is moved
     for listed in (state, feed):

@@ -42,15 +42,8 @@ def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int, feed: DataF
     activity counts as happening at it. A new address that the feed already gave a
     rule starts out with it."""
     steps = written(per_second(hits, multiplier))
-    before = state.join(steps.select("ip").distinct(), "ip", "left_semi")
-    known_since = before.select("ip", F.col("last_activity").alias("known_at"))
-    # A busy address is looked up in pieces, and what falls on one second is one row again.
-    counts = steps.groupBy("ip").agg(F.count("*").alias("n"))
-    late = F.greatest("ts", F.coalesce("known_at", "ts"))
-    in_time = (
-        salted_join(steps, known_since, "ip", counts).withColumn("ts", late)
-        .groupBy("ip", "ts").agg(*[F.sum(c).alias(c) for c in ("added", "activity", "refused")])
-    )
+    before = written(state.join(steps.select("ip").distinct(), "ip", "left_semi"))
+    in_time = steps if before.isEmpty() else _not_before_known(steps, before)
     seed = before.select(
         "ip",
         F.col("last_activity").alias("ts"),
@@ -79,6 +72,18 @@ def changed_rows(state: DataFrame, hits: DataFrame, multiplier: int, feed: DataF
     )
 
 
+def _not_before_known(steps: DataFrame, before: DataFrame) -> DataFrame:
+    """Hits per second, none earlier than the last activity of its address. A busy address is
+    looked up in pieces, and what falls on one second is one row again."""
+    known_since = before.select("ip", F.col("last_activity").alias("known_at"))
+    counts = steps.groupBy("ip").agg(F.count("*").alias("n"))
+    late = F.greatest("ts", F.coalesce("known_at", "ts"))
+    return (
+        salted_join(steps, known_since, "ip", counts).withColumn("ts", late)
+        .groupBy("ip", "ts").agg(*[F.sum(c).alias(c) for c in ("added", "activity", "refused")])
+    )
+
+
 def update_state(state: DataFrame, hits: DataFrame, multiplier: int) -> DataFrame:
     """Fold hits into the state: decayed score, counts, time of last activity."""
     return upsert_state(state, written(changed_rows(state, hits, multiplier)))

@@ -96,3 +96,11 @@ def test_lines_of_one_file_are_dealt_out(spark, sf_dir, tmp_path):
     stream = demo.lines_dealt_out(events).writeStream.foreachBatch(lambda lines, _: parts.append(lines.rdd.getNumPartitions()))
     stream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
     assert parts == [spark.sparkContext.defaultParallelism]
+
+
+def test_what_is_known_is_looked_up_only_if_there_is_something(spark):
+    """Without a stored state the fold has no join by address, and gives what `state_from_hits` does."""
+    hits = spark.createDataFrame(make_hits(4, 100), HITS)
+    fresh = state.changed_rows(store.empty_state(spark), hits, 3600)
+    assert {tuple(r) for r in fresh.collect()} == {tuple(r) for r in state.state_from_hits(hits, 3600).collect()}
+    assert "salt" not in fresh._jdf.queryExecution().optimizedPlan().toString()
