@@ -87,18 +87,18 @@ def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_
     """
     if block < gap:
         raise ValueError("a block is at least as long as the gap")
-    number = F.floor(F.col("ts") / block)
-    seconds = written(candidates.groupBy("ip", "ts").agg(F.min("seq").alias("seq")).withColumn("block", number))
+    first = candidates.filter("ip IS NOT NULL").groupBy("ip", "ts").agg(F.min("seq").alias("seq"))
     # Nothing before a stored report's gap is over can be chosen, so the first block that is left begins free.
-    free_from = F.when(F.col("last_reported").isNotNull(), F.col("last_reported") + gap).otherwise(F.lit(gap))
-    allowed = (
-        seconds.select("ip", "block").distinct()
-        .join(state.select("ip", "last_reported", "whitelisted"), "ip", "left")
-        .filter(~F.coalesce("whitelisted", F.lit(False)))
-        .select("ip", "block", free_from.alias("free_from"))
-    )
-    open_seconds = seconds.join(allowed, ["ip", "block"]).filter("ts >= free_from").select("ip", "block", "ts")
-    ordered = open_seconds.repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
+    free_from = F.min(F.when(~F.coalesce("whitelisted", F.lit(False)), F.coalesce(F.col("last_reported") + gap, F.lit(gap))))
+    limits = state.groupBy("ip").agg(free_from.alias("free_from"), F.lit(True).alias("limited"))
+    limits = written(limits.filter(F.col("free_from").isNull() | (F.col("free_from") != gap)))
+    if limits.isEmpty():
+        free = first.filter(F.col("ts") >= gap)
+    else:
+        counts = candidates.groupBy("ip").agg(F.count("*").alias("n"))
+        free = salted_join(first, limits, "ip", counts).filter(F.col("ts") >= F.when(F.col("limited"), F.col("free_from")).otherwise(gap))
+    seconds = written(free.select("ip", F.floor(F.col("ts") / block).alias("block"), "ts", "seq"))
+    ordered = seconds.select("ip", "block", "ts").repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block_functions(batches, gap, block)
@@ -106,16 +106,18 @@ def throttle_reports(candidates: DataFrame, state: DataFrame, gap: int = REPORT_
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from last_before(batches, gap, block)
 
-    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from pick_spaced(batches, gap)
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pick_started(batches, gap)
 
     shapes = ordered.mapInArrow(tables, "ip string, block bigint, since array<bigint>, last array<bigint>")
     begins = shapes.repartition("ip").sortWithinPartitions("ip", "block").mapInArrow(folded, "ip string, block bigint, last_reported bigint")
-    started = open_seconds.join(begins, ["ip", "block"]).repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
-    chosen = started.mapInPandas(emitted, "ip string, ts bigint").join(seconds.select("ip", "ts", "seq"), ["ip", "ts"])
+    # A block's beginning is a row without time before its seconds, so both come in one exchange.
+    started = seconds.unionByName(begins, allowMissingColumns=True)
+    started = started.repartition("ip", "block").sortWithinPartitions("ip", "block", "ts")
+    chosen = started.mapInArrow(emitted, first.schema)
     found = candidates.join(chosen, ["ip", "ts", "seq"], "left_semi").select(*candidates.columns)
-    # A line may be a candidate twice; one of them is reported.
-    return found.groupBy("ip", "ts").agg(F.min_by(F.struct(*found.columns), "seq").alias("one")).select("one.*")
+    # A line may be a candidate twice; one of them is reported. With seq, rows need not move again.
+    return found.groupBy("ip", "ts", "seq").agg(F.min_by(F.struct(*found.columns), "seq").alias("one")).select("one.*")
 
 
 def block_functions(batches: Iterator[pa.RecordBatch], gap: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -185,9 +187,32 @@ def last_before(batches: Iterator[pa.RecordBatch], gap: int, block: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["ip", "block", "last_reported"])
 
 
+def pick_started(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``ip, ts, seq`` that :func:`pick_spaced` chooses. Each block's first row has no time but
+    ``last_reported``, which holds for the rows after it, those in the next batch included."""
+    rows: list[pa.RecordBatch] = []
+
+    def frames() -> Iterator[pd.DataFrame]:
+        reported = LONG_AGO
+        for batch in batches:
+            begins = batch.column("ts").is_null()
+            known = np.r_[reported, batch.column("last_reported").filter(begins).to_numpy()]
+            begins = begins.to_numpy(zero_copy_only=False)
+            reported = known[-1]
+            seconds = batch.filter(pa.array(~begins))
+            if seconds.num_rows:
+                rows.append(seconds)
+                frame = seconds.select(["ip", "block", "ts"]).to_pandas()
+                yield frame.assign(last_reported=known[np.cumsum(begins)[~begins]])
+
+    for picked in pick_spaced(frames(), gap):
+        yield rows.pop().select(["ip", "ts", "seq"]).take(pa.array(picked.index.to_numpy()))
+
+
 def pick_spaced(batches: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFrame]:
     """Greedy choice over rows sorted by `ip, block, ts`, all blocks of a batch at once;
-    one that goes on in the next batch takes its last choice along."""
+    one that goes on in the next batch takes its last choice along. The index of what comes out
+    is the row's place in its batch."""
     open_key, open_last = None, None
     for batch in batches:
         if not len(batch):
@@ -217,7 +242,7 @@ def pick_spaced(batches: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFr
             at = first_from(groups, ts[at] + gap)
         open_key, open_last = (ips[-1], numbers[-1]), last[-1]
         rows = np.sort(np.concatenate(chosen))
-        yield pd.DataFrame({"ip": ips[rows], "ts": ts[rows]})
+        yield pd.DataFrame({"ip": ips[rows], "ts": ts[rows]}, index=rows)
 
 
 def render_reports(emitted: DataFrame, settings: Settings, mask_strings: Column | DataFrame | None = None) -> DataFrame:

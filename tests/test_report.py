@@ -119,3 +119,26 @@ def test_too_many_masks_are_refused(spark, monkeypatch):
     hosts = spark.createDataFrame([("a", "b"), ("c", None)], "host string, addr string")
     with pytest.raises(Exception, match="more than 2 texts"):
         spark.range(1).select(rp.mask_array(rp.mask_list(hosts))).collect()
+
+
+def test_started_blocks_choose_across_batches():
+    """A block's beginning may lie in a batch before its seconds; ``seq`` of any type goes along."""
+    rows = [("a", 0, None, None, -900), *(("a", 0, t, {"n": t}, None) for t in range(0, 5000, 100)), ("b", 0, None, None, 1000),
+            *(("b", 0, t, {"n": t}, None) for t in range(0, 5000, 100))]
+    fields = [("ip", pa.string()), ("block", pa.int64()), ("ts", pa.int64()), ("seq", pa.struct([("n", pa.int64())])), ("last_reported", pa.int64())]
+    batch = pa.RecordBatch.from_pylist([dict(zip((f for f, _ in fields), r)) for r in rows], schema=pa.schema(fields))
+    want = [(ip, t) for ip, last in (("a", -900), ("b", 1000)) for t in greedy(range(0, 5000, 100), 900, last)]
+    for cuts in ([0, 102], [0, 1, 51, 52, 102], [0, 0, 30, 60, 102]):
+        parts = [batch.slice(p, q - p) for p, q in zip(cuts, cuts[1:])]
+        got = [r for out in rp.pick_started(iter(parts), 900) for r in out.to_pylist()]
+        assert [(r["ip"], r["ts"]) for r in got] == want and all(r["seq"]["n"] == r["ts"] for r in got)
+
+
+def test_candidates_move_twice(spark):
+    """Whole candidates are moved once, to be looked up, and seconds for each table that is made of them."""
+    state = spark.createDataFrame([], STATE)
+    candidates = spark.createDataFrame([("a", 5000 + t, t, "line") for t in range(50)], "ip string, ts long, seq long, line string")
+    out = rp.throttle_reports(candidates, state)
+    assert out.count() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 5
