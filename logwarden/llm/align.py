@@ -165,6 +165,15 @@ def links(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray
     groups = len(owner)
     a_n, b_n = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
     out = [_paired(a, b, a_group, b_group, a_n * b_n < LARGE)]
+    sizes = [int(x.max(initial=0)).bit_length() for x in (owner, a, b)]
+    if sum(sizes) < 64 and not (a_n * b_n >= LARGE).any():  # every link is one row, which fits one number
+        group, keys, _ = out[0]
+        left, right = sizes[1:]
+        whole = np.sort(owner[group] << (left + right) | (keys >> SHIFT) << right | keys & (1 << SHIFT) - 1)
+        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
+        keys = whole[first]
+        pairs = (keys >> right & (1 << left) - 1) << SHIFT | keys & (1 << right) - 1
+        return keys >> (left + right), pairs, np.diff(np.r_[first, len(whole)])
     for g in np.flatnonzero(a_n * b_n >= LARGE).tolist():
         x, x_times = np.unique(a[slice(*np.searchsorted(a_group, (g, g + 1)))], return_counts=True)
         y, y_times = np.unique(b[slice(*np.searchsorted(b_group, (g, g + 1)))], return_counts=True)

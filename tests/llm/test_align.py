@@ -124,3 +124,21 @@ def test_query(spark, sf_dir):
     docs = catalog.table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").collect()
     got = sorted(catalog.op12_token_alignment(spark, sf_dir).collect(), key=lambda r: r.doc_id)
     assert [tuple(r)[1:] for r in got] == brute_force([d.text for d in docs])
+
+
+def test_links_are_sorted_as_one_number(monkeypatch):
+    """Links that fit one number are not sorted by row and pair apart, and are the same."""
+    rng = np.random.default_rng(3)
+    for top, rows in ((50_000, 300), (5, 3), (1 << 30, 7)):
+        a_group, b_group = (np.repeat(np.arange(400), rng.integers(1, 5, 400)) for _ in range(2))
+        a, b = (rng.integers(0, top, len(g)).astype(np.int32) for g in (a_group, b_group))
+        owner = np.sort(rng.integers(0, rows, 400))
+        with monkeypatch.context() as patch:
+            patch.setattr(align, "LARGE", 2)  # groups are added up first, and all links sorted as rows
+            plain = align.links(a, b, a_group, b_group, owner)
+        with monkeypatch.context() as patch:
+            patch.setattr(np, "lexsort", lambda _: pytest.fail("sorted twice"))
+            got = align.links(a, b, a_group, b_group, owner) if top < 1 << 20 else plain
+        assert all(np.array_equal(x, y) for x, y in zip(got, plain))
+    nothing = np.zeros(0, np.int32)
+    assert [len(x) for x in align.links(nothing, nothing, nothing, nothing, nothing.astype(np.int64))] == [0, 0, 0]
